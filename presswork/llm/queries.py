@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from presswork.llm.op1_media import op1_media
 from presswork.llm.op2_training_order import op2_training_order
 from presswork.llm.op5_packing import op5_packing
 from presswork.llm.op10_bpe import op10_bpe
 
-QUERIES = {f.__name__: f for f in (op2_training_order, op5_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_training_order, op5_packing, op10_bpe)}
 SQL: dict[str, str] = {}
