@@ -124,3 +124,22 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def stretch_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each stretch words[start:end]; stretches may overlap."""
+    base = _WORD_BASES[which]
+    total = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum((words ^ np.uint64(which * 0x5851F42D4C957F2D)) * _powers(base, len(words))[: len(words)], out=total[1:])
+    return mix((total[ends] - total[starts]) * _powers(pow(base, -1, _WRAP), len(words))[starts] + (ends - starts).astype(np.uint64))
+
+
+def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` consecutive keys, by doubling."""
+    n, reach, least = len(keys) - width + 1, 1, keys
+    if n <= 0:
+        return keys[:0]
+    while reach * 2 <= width:
+        least = np.minimum(least[: len(least) - reach], least[reach:])
+        reach *= 2
+    return np.minimum(least[:n], least[width - reach : width - reach + n])
