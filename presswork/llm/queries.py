@@ -5,11 +5,12 @@ from __future__ import annotations
 from presswork.llm import op4_topk as _op4
 from presswork.llm.op1_media import op1_media
 from presswork.llm.op2_training_order import op2_training_order
+from presswork.llm.op3_lines import op3_lines
 from presswork.llm.op4_topk import op4_topk
 from presswork.llm.op5_packing import op5_packing
 from presswork.llm.op7_jaccard import op7_jaccard
 from presswork.llm.op8_substring import op8_substring
 from presswork.llm.op10_bpe import op10_bpe
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_training_order, op4_topk, op5_packing, op7_jaccard, op8_substring, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_training_order, op3_lines, op4_topk, op5_packing, op7_jaccard, op8_substring, op10_bpe)}
 SQL: dict[str, str] = {"op4_topk": _op4.SQL}
