@@ -31,6 +31,8 @@ from presswork.llm.op5_packing import cut
 HEAD = 24
 ROUNDS = 6
 NO_ID = -(1 << 63)
+#: Rows of 16 bytes, one for each task that wrote; with more of them the join is left to Spark.
+MOST_BROADCAST = 100_000
 
 
 def _round(half: np.ndarray, key: int, number: int) -> np.ndarray:
@@ -116,7 +118,9 @@ def write_training_order(docs: DataFrame, tokenizer: str, out: str, key: int, le
     # A row for each task that wrote: the bases come from a running total of their counts.
     counts = staged.groupBy("part").count()
     bases = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("base"))
-    n = staged.count()
+    n, tasks = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    if tasks <= MOST_BROADCAST:
+        bases = F.broadcast(bases)
 
     @F.pandas_udf("long")
     def slot_of(number: pd.Series) -> pd.Series:
