@@ -11,7 +11,8 @@ from presswork.llm.op5_packing import op5_packing
 from presswork.llm.op6_quality import op6_quality
 from presswork.llm.op7_jaccard import op7_jaccard
 from presswork.llm.op8_substring import op8_substring
+from presswork.llm.op9_pii import op9_pii
 from presswork.llm.op10_bpe import op10_bpe
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_training_order, op3_lines, op4_topk, op5_packing, op6_quality, op7_jaccard, op8_substring, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_training_order, op3_lines, op4_topk, op5_packing, op6_quality, op7_jaccard, op8_substring, op9_pii, op10_bpe)}
 SQL: dict[str, str] = {"op4_topk": _op4.SQL}
