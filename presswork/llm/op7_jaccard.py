@@ -12,10 +12,11 @@ A document's set is its distinct shingles of five words (as 64-bit hashes); two
    - Light sets (up to a boundary size) give all subsets of two of that longer prefix as keys.
    - Heavy sets are entered in the inverted lists of their prefix. Sets from 0.8 of the boundary up are in these
      lists too, so pairs across the boundary are found.
-   The boundary is the size at which the sum of both costs (subsets made, list entries scanned) is least.
-4. Sets that share a key are compared with the key's first set, then with its last one. Sets that are in one
-   component by then need no further comparison, so a group of copies costs a row each, not a pair each. Pairs of
-   different components that still share a key are all compared, which is what makes it exact.
+   The boundary is the size at which the sum of both costs (subsets made, list entries) is least.
+4. Sets that share a key are compared with the key's first and last set. Sets that are in one component by then
+   need no further comparison, so a group of copies costs a row each, not a pair each. Then step 3 is done again for
+   the sets that still share a key with another component, shingles that only one component has being out of
+   play. In the end, pairs of different components that still share a key are all compared, which makes it exact.
 
 Nulls and odd input: a document without words or text has an empty set and links with nothing. With fewer
 than five words the whole sequence is the one shingle. Rows that repeat a doc_id keep a row each. A null doc_id
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm.common import stored, table
@@ -123,23 +124,35 @@ def _slack(n):
 
 
 def _keys(prefixes: DataFrame, boundary: int) -> DataFrame:
-    """(key, s, n) of light and heavy sets. `front`: shared shingles of the longer prefix, rare first; `single`: how many are in the shorter one."""
-    pairs = F.flatten(F.transform("front", lambda x, i: F.transform(F.slice("front", i + 2, F.greatest(F.size("front") - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))
-    light = prefixes.where(F.col("n") <= boundary).select(F.explode(pairs).alias("key"), "s", "n")
-    heavy = prefixes.where((F.col("n") * 5 >= F.lit(4 * boundary)) & (F.col("single") > 0)).select(F.explode(F.slice("front", 1, F.col("single"))).alias("key"), "s", "n")
+    """(key, s, n, rest) of light and heavy sets. `rest`: of the set's shared shingles, how many are left from the key's first one on.
+
+    If a key is the first in order that two sets share, their intersection is within both `rest`.
+    """
+    pairs = F.flatten(F.transform("front", lambda x, i: F.transform(F.slice("front", i + 2, F.greatest(F.size("front") - i - 1, F.lit(0))), lambda y: F.struct(F.xxhash64(x, y).alias("key"), (F.col("shared") - i).alias("rest")))))
+    light = prefixes.where(F.col("n") <= boundary).select(F.explode(pairs).alias("k"), "s", "n").select("k.key", "s", "n", "k.rest")
+    long = prefixes.where(F.col("n") * 5 >= F.lit(4 * boundary))
+    heavy = long.select(F.posexplode(F.slice("front", 1, F.col("single"))).alias("i", "key"), "s", "n", "shared").select("key", "s", "n", (F.col("shared") - F.col("i")).alias("rest"))
     return light.unionByName(heavy)
 
 
+def _may_link(n1: Column, rest1: Column, n2: Column, rest2: Column) -> Column:
+    """Whether the intersection can be 0.8 of the union at all: it is at most `rest`, and must be 4/9 of both sizes."""
+    return F.least(rest1, rest2) * 9 >= (n1 + n2) * 4
+
+
 def _boundary(prefixes: DataFrame) -> int:
-    """The size up to which sets are light: least subsets made plus list entries scanned, over powers of two."""
-    step = F.ceil(F.log2(F.col("n").cast("double")) * 2)
+    """The size up to which sets are light, by powers of two: where the rows that they make, as subsets or as list entries, are fewest.
+
+    A list entry counts double, since sets that share one shingle are less often near copies than sets that share two.
+    """
+    step = F.ceil(F.log2(F.col("n").cast("double")))
     size = F.size("front").cast("double")
-    costs = prefixes.groupBy(step.alias("step")).agg(F.sum(size * (size - 1) / 2).alias("light"), F.sum("scanned").alias("heavy")).orderBy("step").collect()
+    costs = prefixes.groupBy(step.alias("step")).agg(F.sum(size * (size - 1) / 2).alias("light"), F.sum(F.col("single") * 2).alias("heavy")).orderBy("step").collect()
     best, choice = sum(c.heavy for c in costs), 0
-    for c in costs:  # at most two for each power of two
+    for c in costs:  # one for each power of two
         cost = sum(x.light for x in costs if x.step <= c.step) + sum(x.heavy for x in costs if x.step >= c.step)
         if cost < best:
-            best, choice = cost, int(2 ** (c.step / 2))
+            best, choice = cost, 2**c.step
     return choice
 
 
@@ -151,40 +164,53 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").where(common * 100 >= (F.col("na") + F.col("nb") - common) * 80).select("a", "b")
 
 
-def links(sets: DataFrame, shared: DataFrame) -> DataFrame:
-    """(node, root) of all sets in `sets` (s, n, shingles) that link with another one, but the roots. `shared`: (shingle, df) of shingles in more than one."""
-    rows = sets.select("s", "n", F.explode("shingles").alias("shingle")).join(shared, "shingle")
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """Of each set its first shingles, rare ones first, without those that only its own component has.
+
+    rows: s, n, shingle, df of shared shingles, df being the number of components that have it. `single`: how many
+    of `front` belong to the prefix of which a partner must share one; the whole `front` is one longer.
+    """
     ordered = rows.groupBy("s", "n").agg(F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("own"))
-    # Shingles of one set only come first of all, and can't be shared.
+    # Shingles of one component come first of all, and can't be shared with another.
     short = F.col("n").cast("long") - F.size("own")
     single = F.greatest(_slack(F.col("n")) + 1 - short, F.lit(0)).cast("int")
-    prefixes = stored(
-        ordered.select("s", "n", "own", F.least(single, F.size("own")).alias("single"), F.least((single + 1).cast("int"), F.size("own")).alias("double"))
-        .select("s", "n", "single", F.expr("transform(slice(own, 1, double), x -> x.shingle)").alias("front"), F.expr("aggregate(slice(own, 1, single), 0D, (t, x) -> t + x.df)").alias("scanned"))
-        .where(F.size("front") > 0)
-    )
-    keys = stored(_keys(prefixes, _boundary(prefixes)).distinct())
-    near = lambda na, nb: (na * 5 >= nb * 4) & (nb * 5 >= na * 4)
-    found, roots, tried = None, None, []
-    for turn in (F.min, F.max):
-        labelled = keys if roots is None else keys.join(roots, keys.s == roots.node, "left").select("key", "s", "n", F.coalesce("root", "s").alias("c"))
-        c = "s" if roots is None else "c"
-        first = labelled.groupBy("key").agg(turn(F.struct("s", "n")).alias("p"), F.min(c).alias("low"), F.max(c).alias("high")).where("low < high").select("key", "p")
-        pairs = keys.join(first, "key").where((F.col("s") != F.col("p.s")) & near(F.col("n"), F.col("p.n"))).select(F.least("s", "p.s").alias("a"), F.greatest("s", "p.s").alias("b")).distinct()
-        for done in tried:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        tried.append(pairs)
+    cut = ordered.select("s", "n", "own", single.alias("single")).where("single > 0")
+    return cut.select("s", "n", F.size("own").alias("shared"), F.least("single", F.size("own")).alias("single"), F.expr("transform(slice(own, 1, single + 1), x -> x.shingle)").alias("front"))
+
+
+def links(sets: DataFrame, rounds: int = 2) -> DataFrame:
+    """(node, root) of all sets in `sets` (s, n, shingles) that link with another one, but the roots.
+
+    Each round orders the shingles of the sets that are still in question by the number of components that have
+    them, compares the sets of each key with its first and its last one, and joins what links. Sets of which no key
+    holds another component are settled. After the rounds, pairs of different components that share a key
+    are compared one by one.
+    """
+    pair = [F.least("s", "p.s").alias("a"), F.greatest("s", "p.s").alias("b")]
+    roots = sets.sparkSession.createDataFrame([], "node long, root long")
+    found, tried, active = None, None, sets.select("s", "n", "shingles", F.col("s").alias("c"))
+    for number in range(rounds + 1):
+        rows = active.select("s", "n", "c", F.explode("shingles").alias("shingle"))
+        shared = rows.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("df")).where("low < high").select("shingle", "df")
+        prefixes = stored(_prefixes(rows.join(shared, "shingle").select("s", "n", "shingle", "df")))
+        keys = stored(_keys(prefixes, _boundary(prefixes)).join(active.select("s", "c").distinct(), "s"))
+        if number == rounds:
+            break
+        ends = keys.groupBy("key").agg(F.min(F.struct("s", "n", "rest")).alias("one"), F.max(F.struct("s", "n", "rest")).alias("two"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+        with_ends = keys.join(ends.select("key", F.explode(F.array("one", "two")).alias("p")), "key")
+        pairs = with_ends.where((F.col("s") != F.col("p.s")) & _may_link(F.col("n"), F.col("rest"), F.col("p.n"), F.col("p.rest"))).select(*pair).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
         more = stored(_linked(pairs, sets))
         found = more if found is None else found.unionByName(more)
         roots = components(found)
-    labelled = keys.join(roots, keys.s == roots.node, "left").select("key", "s", "n", F.coalesce("root", "s").alias("c"))
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    left = stored(labelled.join(mixed, "key", "left_semi"))
-    a, b = left.select("key", *(F.col(x).alias(f"{x}1") for x in ("s", "n", "c"))), left.select("key", *(F.col(x).alias(f"{x}2") for x in ("s", "n", "c")))
-    rest = a.join(b, "key").where((F.col("s1") < F.col("s2")) & (F.col("c1") != F.col("c2")) & near(F.col("n1"), F.col("n2"))).select(F.col("s1").alias("a"), F.col("s2").alias("b")).distinct()
-    for done in tried:
-        rest = rest.join(done, ["a", "b"], "left_anti")
+        named = keys.drop("c").join(roots, keys.s == roots.node, "left").select("key", "s", F.coalesce("root", "s").alias("c"))
+        mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        open_sets = named.join(mixed, "key", "left_semi").select("s", "c").distinct()
+        active = stored(sets.join(open_sets, "s"))
+    one, two = (keys.select("key", *(F.col(x).alias(f"{x}{i}") for x in ("s", "n", "c", "rest"))) for i in (1, 2))
+    apart = (F.col("s1") < F.col("s2")) & (F.col("c1") != F.col("c2")) & _may_link(F.col("n1"), F.col("rest1"), F.col("n2"), F.col("rest2"))
+    rest = one.join(two, "key").where(apart).select(F.col("s1").alias("a"), F.col("s2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = stored(_linked(rest, sets))
     return components(found.unionByName(more)) if more.take(1) else roots
 
@@ -201,8 +227,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, id_column: str = "do
     none = F.lit(0).cast(kind) if kind != "string" else F.lit("")
     chosen = hopeful.select(F.coalesce("first_id", none).alias("key"), "s", "s2")
     sets = stored(picked.select(F.coalesce("id", none).alias("key"), "text").join(chosen, "key").select("text", "s", "s2").mapInArrow(_whole(words), "s long, n long, shingles array<long>"))
-    shared = sets.select("s", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("df"), F.min("s").alias("low"), F.max("s").alias("high")).where("low < high").select("shingle", "df")
-    roots = stored(links(sets, shared))
+    roots = links(sets)
     named = classes.join(roots, classes.s == roots.node, "left").select("s", "s2", "n", "first_id", F.coalesce("root", "s").alias("c"))
     smallest = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
     labels = named.join(smallest, "c").select("s", "s2", F.col("n").alias("size"), "component_id")
