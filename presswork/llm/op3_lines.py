@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm.common import stored, table
+from presswork.llm.textarrays import any_span_hashes, mix, slices, utf8, word_spans
 
 PARTS = 16
 LAST = (1 << 63) - 1
@@ -87,33 +88,72 @@ def _emit(run, names: list[str], kinds: list[pa.DataType], size: int = 50_000):
     return out
 
 
-def _hash(x: Column | str) -> tuple[Column, Column]:
-    return F.xxhash64(x), F.xxhash64(F.lit(7), x)
-
-
-def _halves(line: Column, n: Column) -> Column:
-    """Hashes of the halves that a partner of the same length, or one less, must share one of."""
-    def both(m: Column) -> list[Column]:
-        h = F.floor(m / 2).cast("int")
-        return [F.xxhash64(F.lit(1), m, F.substring(line, F.lit(1), h)), F.xxhash64(F.lit(2), m, F.substring(line, n - (m - h) + 1, m - h))]
-
-    return F.array(*both(n), *both(n - 1))
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, h, no, two hashes of the line, four hashes of halves) of every line that isn't blank."""
+    for batch in batches:
+        data, offsets = utf8(batch.column(2))
+        breaks = np.flatnonzero(data == 10)
+        row_of_break = np.searchsorted(offsets, breaks, side="right") - 1
+        starts = np.concatenate([offsets[:-1], breaks + 1])
+        ends = np.concatenate([offsets[1:], breaks])
+        rows = np.concatenate([np.arange(batch.num_rows), row_of_break])
+        # Starts go up within a row, and ends with them; sorting both by row keeps them matched.
+        order, end_order = np.lexsort((starts, rows)), np.lexsort((ends, rows))
+        starts, rows, ends = starts[order], rows[order], ends[end_order]
+        number = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        words, stops, _ = word_spans(data, np.unique(np.concatenate([starts, offsets])))
+        low, high = np.searchsorted(words, starts), np.searchsorted(words, ends)
+        full = high > low
+        begin, end, rows, number = words[low[full]], stops[high[full] - 1], rows[full], number[full]
+        bounds = np.append(begin, end[-1:] if len(end) else 0)
+        for a, b in slices(bounds):
+            base = int(begin[a])
+            part, s, e = data[base : int(end[b - 1])], begin[a:b] - base, end[a:b] - base
+            # Halves are of characters: where each begins, and the first one of each line.
+            chars = np.append(np.flatnonzero((part & 0xC0) != 0x80), len(part))
+            c0, c1 = np.searchsorted(chars, s), np.searchsorted(chars, e)
+            spans, tags = [], []
+            for longer in (0, 1):
+                n = c1 - c0 - longer
+                half = n // 2
+                spans += [(s, chars[c0 + half]), (chars[c1 - (n - half)], e)]
+                tags.append(n.astype(np.uint64))
+            one = any_span_hashes(part, [(s, e), *spans])
+            (two,) = any_span_hashes(part, [(s, e)], 1)
+            halves = [mix(x + tags[i // 2] * np.uint64(8) + np.uint64(i % 2)) for i, x in enumerate(one[1:])]
+            take = pa.array(rows[a:b])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(number[a:b].astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (one[0], two, *halves))],
+                names=["id", "h", "no", "l1", "l2", "a1", "a2", "b1", "b2"],
+            )
+
+
+def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines that `picks` names, with their hashes."""
+    for batch in batches:
+        out: list[tuple] = []
+        for id_, h, text, picks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            split = text.split("\n")
+            out += [(p["l1"], p["l2"], id_, p["no"], h, split[p["no"]].strip(" \t\n\v\f\r")) for p in picks]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["l1", "l2", "id", "no", "h", "line"])
 
 
 def earlier_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The place (id, no, and h, the hash of the text) of every line that goes; a null id is the largest long."""
-    texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), F.col(text_column).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    split = texts.select("id", "h", F.posexplode(F.split("text", "\n")).alias("no", "raw")).select("id", "no", "h", F.regexp_replace("raw", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("line")).where("line <> ''")
-    l1, l2 = _hash("line")
-    lines = split.select("id", "no", "h", "line", l1.alias("l1"), l2.alias("l2"))
+    texts = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), F.col(text_column).cast("string").alias("text")).withColumn("h", F.xxhash64("text")).where("text <> ''")
+    lines = stored(texts.select("id", "h", "text").mapInArrow(_lines, "id long, h long, no int, l1 long, l2 long, a1 long, a2 long, b1 long, b2 long"))
     place = F.struct("id", "no", "h")
     first = stored(lines.groupBy("l1", "l2").agg(F.min(place).alias("at")))
     again = lines.select("id", "no", "h", "l1", "l2").join(first, ["l1", "l2"]).where(place != F.col("at")).select("id", "no", "h")
 
-    halves = lines.select("l1", "l2", F.explode(_halves(F.col("line"), F.length("line"))).alias("half"))
+    halves = lines.select("l1", "l2", F.explode(F.array("a1", "a2", "b1", "b2")).alias("half"))
     shared = halves.groupBy("half").agg(F.min("l1").alias("low"), F.max("l1").alias("high")).where("low < high").select("half")
     likely = halves.join(shared, "half", "left_semi").select("l1", "l2").distinct().join(first, ["l1", "l2"]).select("l1", "l2", "at.id", "at.no", "at.h")
-    kept = stored(lines.join(likely, ["l1", "l2", "id", "no", "h"], "left_semi").dropDuplicates(["l1", "l2"]))
+    picks = likely.groupBy("id", "h").agg(F.collect_list(F.struct("no", "l1", "l2")).alias("picks"))
+    found = texts.join(picks, ["id", "h"]).select("id", "h", "text", "picks").mapInArrow(_pick, "l1 long, l2 long, id long, no int, h long, line string")
+    kept = stored(found.dropDuplicates(["l1", "l2"]))
 
     long, small = pa.int64(), pa.int32()
     around = _emit(lambda l1, line: [(l1, longer, j, *key) for longer, j, key in surroundings(line)], ["l1", "longer", "part", "k1", "k2"], [long, small, small, long, long])

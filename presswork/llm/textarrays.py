@@ -143,3 +143,12 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
         least = np.minimum(least[: len(least) - reach], least[reach:])
         reach *= 2
     return np.minimum(least[:n], least[width - reach : width - reach + n])
+
+
+def any_span_hashes(data: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]], which: int = 0) -> list[np.ndarray]:
+    """A 64-bit hash of each data[start:end], for several arrays of starts and ends, which may overlap."""
+    base = (_BYTE_BASE, *_WORD_BASES)[which]
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, len(data))[: len(data)], out=total[1:])
+    back = _powers(pow(base, -1, _WRAP), len(data))
+    return [mix((total[e] - total[s]) * back[s] + (e - s).astype(np.uint64)) for s, e in spans]
