@@ -49,8 +49,8 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     # A line ends at each line break and at the end of its row.
     is_row = np.concatenate([np.zeros(len(breaks), dtype=bool), np.ones(rows, dtype=bool)])
     stops = np.concatenate([breaks, offsets[1:]])
-    order = np.lexsort((is_row, stops)) if rows else np.zeros(0, dtype=np.int64)
-    # An empty row's end may equal the end of the row before it, and comes after it either way.
+    # Where a row ends, the next one may begin with a line break: the end comes first.
+    order = np.lexsort((~is_row, stops))
     stops, is_row = stops[order], is_row[order]
     lines = len(stops)
     starts = np.empty(lines, dtype=np.int64)
