@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         smaller = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smaller, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         edges = stored(small.unionByName(smaller.select("u", F.col("m").alias("v"))).distinct())

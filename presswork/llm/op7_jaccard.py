@@ -16,7 +16,8 @@ A document's set is its distinct shingles of five words (as 64-bit hashes); two
 4. Sets that share a key are compared with the key's first and last set. Sets that are in one component by then
    need no further comparison, so a group of copies costs a row each, not a pair each. Then step 3 is done again for
    the sets that still share a key with another component, shingles that only one component has being out of
-   play. In the end, pairs of different components that still share a key are all compared, which makes it exact.
+   play. In the end, pairs of different components that still share a key are all compared, which makes it exact;
+   before their sets are, bitmaps and the places of the key tell how large the intersection can be at most.
 
 Nulls and odd input: a document without words or text has an empty set and links with nothing. With fewer
 than five words the whole sequence is the one shingle. Rows that repeat a doc_id keep a row each. A null doc_id
@@ -140,6 +141,18 @@ def _may_link(n1: Column, rest1: Column, n2: Column, rest2: Column) -> Column:
     return F.least(rest1, rest2) * 9 >= (n1 + n2) * 4
 
 
+def _bitmap(shingles: Column) -> Column:
+    """1,024 bits, as 16 longs, of which a set has one on for each shingle."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x, 4), F.lit(64)).cast("int"))
+    word = lambda w: F.aggregate(shingles, F.lit(0).cast("long"), lambda t, x: t.bitwiseOR(F.when(F.pmod(x, F.lit(16)) == w, bit(x)).otherwise(F.lit(0).cast("long"))))
+    return F.array(*map(word, range(16)))
+
+
+def _lacking(first: str, second: str) -> Column:
+    """Bits that only the first map has on: at least so many of its shingles the other set lacks."""
+    return F.aggregate(F.zip_with(first, second, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda t, v: t + v)
+
+
 def _boundary(prefixes: DataFrame) -> int:
     """The size up to which sets are light, by powers of two: where the rows that they make, as subsets or as list entries, are fewest.
 
@@ -175,10 +188,10 @@ def _prefixes(rows: DataFrame) -> DataFrame:
     short = F.col("n").cast("long") - F.size("own")
     single = F.greatest(_slack(F.col("n")) + 1 - short, F.lit(0)).cast("int")
     cut = ordered.select("s", "n", "own", single.alias("single")).where("single > 0")
-    return cut.select("s", "n", F.size("own").alias("shared"), F.least("single", F.size("own")).alias("single"), F.expr("transform(slice(own, 1, single + 1), x -> x.shingle)").alias("front"))
+    return cut.select("s", "n", F.expr("transform(own, x -> x.shingle)").alias("own"), F.size("own").alias("shared"), F.least("single", F.size("own")).alias("single"), F.expr("transform(slice(own, 1, single + 1), x -> x.shingle)").alias("front"))
 
 
-def links(sets: DataFrame, rounds: int = 2) -> DataFrame:
+def links(sets: DataFrame, rounds: int = 1) -> DataFrame:
     """(node, root) of all sets in `sets` (s, n, shingles) that link with another one, but the roots.
 
     Each round orders the shingles of the sets that are still in question by the number of components that have
@@ -208,8 +221,10 @@ def links(sets: DataFrame, rounds: int = 2) -> DataFrame:
         mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
         open_sets = named.join(mixed, "key", "left_semi").select("s", "c").distinct()
         active = stored(sets.join(open_sets, "s"))
-    one, two = (keys.select("key", *(F.col(x).alias(f"{x}{i}") for x in ("s", "n", "c", "rest"))) for i in (1, 2))
-    apart = (F.col("s1") < F.col("s2")) & (F.col("c1") != F.col("c2")) & _may_link(F.col("n1"), F.col("rest1"), F.col("n2"), F.col("rest2"))
+    mapped = stored(keys.join(prefixes.select("s", "shared", _bitmap(F.col("own")).alias("bits")), "s"))
+    one, two = (mapped.select("key", *(F.col(x).alias(f"{x}{i}") for x in ("s", "n", "c", "rest", "shared", "bits"))) for i in (1, 2))
+    most = F.least("rest1", F.col("shared1") - _lacking("bits1", "bits2")), F.least("rest2", F.col("shared2") - _lacking("bits2", "bits1"))
+    apart = (F.col("s1") < F.col("s2")) & (F.col("c1") != F.col("c2")) & _may_link(F.col("n1"), F.col("rest1"), F.col("n2"), F.col("rest2")) & _may_link(F.col("n1"), most[0], F.col("n2"), most[1])
     rest = one.join(two, "key").where(apart).select(F.col("s1").alias("a"), F.col("s2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = stored(_linked(rest, sets))
     return components(found.unionByName(more)) if more.take(1) else roots
