@@ -69,17 +69,25 @@ def _occurrences(length: int, seed: int):
                 low = window[at]
                 high = window[np.append(at[1:], len(window)) - 1]
                 which = row[low]
+                anchor, stretch = seeds[picked[low]], stretch_hashes(words, low, high + length, 1)
+                # A stretch that a text has more than once counts as often at its first place; the others, known to repeat, count 0.
+                order = np.lexsort((low, stretch, anchor, which))
+                same = np.logical_and.reduce([c[order[1:]] == c[order[:-1]] for c in (which, anchor, stretch)])
+                heads = np.flatnonzero(np.concatenate([[True], ~same]))
+                times = np.zeros(len(order), dtype=np.int64)
+                times[order[heads]] = np.diff(np.append(heads, len(order)))
                 take = pa.array(which + first)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(take),
                         batch.column(1).take(take),
-                        _signed(seeds[picked[low]]),
-                        _signed(stretch_hashes(words, low, high + length, 1)),
+                        _signed(anchor),
+                        _signed(stretch),
                         pa.array((low - rows[which]).astype(np.int32)),
                         pa.array((high - rows[which]).astype(np.int32)),
+                        pa.array(times),
                     ],
-                    names=["id", "h", "anchor", "stretch", "low", "high"],
+                    names=["id", "h", "anchor", "stretch", "low", "high", "times"],
                 )
 
     return run
@@ -167,12 +175,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     # Rows are told apart by id and a hash of the text: rows that agree in both are alike in all that follows.
     keyed = picked.select(F.coalesce(F.xxhash64("doc") if kind not in ("bigint", "int") else F.col("doc").cast("long"), F.lit(0)).alias("id"), F.hash("doc", "text").alias("h"), "text", "doc")
     name = "id long, h int, "
-    spots = stored(keyed.select("id", "h", "text").mapInArrow(_occurrences(length, seed), name + "anchor long, stretch long, low int, high int"))
+    every = stored(keyed.select("id", "h", "text").mapInArrow(_occurrences(length, seed), name + "anchor long, stretch long, low int, high int, times long"))
+    again_here, spots = every.where("times = 0").select("id", "h", "low", "high"), every.where("times > 0")
     # Most anchors are in one place only; all that follows is about the others.
-    anchors = spots.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    anchors = spots.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
     spots = stored(spots.join(anchors, "anchor", "left_semi"))
-    stretches = stored(spots.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "low", "high")).alias("one")))
-    whole = spots.join(stretches.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi").select("id", "h", "low", "high")
+    stretches = stored(spots.groupBy("anchor", "stretch").agg(F.sum("times").alias("n"), F.min(F.struct("id", "h", "low", "high")).alias("one")))
+    whole = spots.join(stretches.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"], "left_semi").select("id", "h", "low", "high").unionByName(again_here)
     uneven = stretches.where("n = 1").select("anchor").distinct()
     to_extend = stretches.join(uneven, "anchor", "left_semi").select("one.*").groupBy("id", "h").agg(F.collect_list(F.struct("low", "high")).alias("spots"))
     extended = stored(keyed.select("id", "h", "text").join(to_extend, ["id", "h"]).select("id", "h", "text", "spots").mapInArrow(_windows(length), name + "w1 long, w2 long, low int"))
