@@ -2,47 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Spark's setting for it.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from presswork.session import shared_dir, stored  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder for tables between jobs, in the shared folder that the cluster names.
-
-    Without `spark.checkpoint.dir` (tests on one machine) it is a temporary folder, which is then also set
-    as the checkpoint folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="presswork-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/presswork/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared folder and reads it again: later jobs neither redo it nor need its executors.
-
-    The shuffle files of the write go as soon as it has ended, not when the driver next collects its garbage.
-    """
-    spark = df.sparkSession
-    path, before = shared_dir(spark), spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def tokenizer_path(name: str) -> str:
     """The default place of a public tokenizer file; operators take any path."""
     import public_tokenizers

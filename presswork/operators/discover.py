@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.functions import dates, text, urls
+from presswork.session import stored
 
 # Link texts that promise more articles.
 FOLLOW_TEXT = r"see\s*all|view\s*all|show\s*more|load\s*more|all\s*news|more\s*(news|articles|stories|headlines)|latest\s*news|\barchive\b|\bnews\b|\bart'?icles?\b|stories|headlines|listing|^[0-9]+\s*$|\bnext\b"
@@ -84,13 +85,16 @@ def follow_links(links: DataFrame, most: int = 6) -> DataFrame:
 def frontier(edges: DataFrame, seeds: DataFrame, depth: int = 8, most: int = 40) -> DataFrame:
     """(site, url, level) of pages reached over edges (site, src, dst) from seeds (site, url), by levels; at most `most` of each site, nearest first.
 
-    One join a level, and nothing comes to the driver but whether a level is empty.
+    One join a level. Edges and levels are written, so that no level redoes the ones before it; nothing comes to the
+    driver but whether a level is empty.
     """
-    seen = seeds.select("site", "url", F.lit(0).alias("level"))
-    level = seen
+    edges = stored(edges.select("site", "src", "dst").distinct())
+    level = seen = stored(seeds.select("site", "url", F.lit(0).alias("level")).distinct())
     for n in range(1, depth + 1):
         step = level.join(edges, (level.site == edges.site) & (level.url == edges.src)).select(level.site, F.col("dst").alias("url")).distinct()
-        level = step.join(seen, ["site", "url"], "left_anti").withColumn("level", F.lit(n))
+        level = stored(step.join(seen, ["site", "url"], "left_anti").withColumn("level", F.lit(n)))
+        if level.isEmpty():
+            break
         seen = seen.unionByName(level)
     order = Window.partitionBy("site").orderBy("level", "url")
     return seen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")

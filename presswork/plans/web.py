@@ -283,13 +283,25 @@ reach(url, level) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT dst, level + 1 FR
 seen AS (SELECT url, min(level) AS level FROM reach GROUP BY url)
 SELECT url, CAST(level AS INTEGER) AS level FROM seen ORDER BY level, url LIMIT 40""")
 def bfs_frontier(spark, sf_dir):
-    """Forty nearest pages over a link table, level by level."""
+    """Forty nearest pages over a graph of fixed size; bfs_frontier_links has the whole table."""
     lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 1000")
     edges = lines.select(F.lit("s").alias("site"), F.col("l_orderkey").alias("src"), (F.col("l_partkey") % 1000).alias("dst")).distinct()
     seeds = rows(spark, "site string, url long", ("s", 1))
     return discover.frontier(edges, seeds, depth=4).select("url", "level")
 
 
+@query("""WITH RECURSIVE edges AS (SELECT l_orderkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem UNION SELECT l_partkey * 2 + 1, l_orderkey * 2 FROM lineitem),
+reach(url, level) AS (SELECT min(l_orderkey) * 2, 0 FROM lineitem UNION SELECT dst, level + 1 FROM reach JOIN edges ON src = url WHERE level < 8),
+seen AS (SELECT url, min(level) AS level FROM reach GROUP BY url)
+SELECT url, CAST(level AS INTEGER) AS level FROM seen ORDER BY level, url LIMIT 40""")
+def bfs_frontier_links(spark, sf_dir):
+    """Forty nearest pages to the first order over all of a link table, to the reference's depth: orders are even pages, parts odd ones."""
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).alias("order"), (F.col("l_partkey") * 2 + 1).alias("part"))
+    edges = lines.select("order", "part").union(lines.select("part", "order")).toDF("src", "dst").withColumn("site", F.lit("s"))
+    seeds = lines.agg(F.min("order").alias("url")).where("url IS NOT NULL").withColumn("site", F.lit("s"))
+    return discover.frontier(edges, seeds).select("url", "level")
+
+
 def parsed_pages(spark, sf_dir):
     return pages(spark, sf_dir).withColumn("fields", html.page_fields(F.col("html"), F.col("url")))
 
