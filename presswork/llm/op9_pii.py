@@ -5,7 +5,7 @@ keyed Feistel permutation of its own format's domain gives. A permutation has an
 values get equal pseudonyms in all documents, so records stay linked. What is found:
 
 - card numbers and other numbers of 13 to 19 digits, in one or in groups: the check digit is kept right where it was right
-- IBANs with right check digits, which stay right
+- IBANs with right check digits, which stay right, also before words and numbers that look like further groups
 - telephone numbers with a country code or in North American form: the country code stays
 - IPv4 addresses; social security numbers in their valid ranges
 - dates of the calendar (year first, or day or month first, 1900 to 2099): another date, written alike
@@ -64,9 +64,14 @@ def luhn_digit(body: str) -> int:
     return -total % 10
 
 
+def _is_card(text: str) -> bool:
+    digits = re.sub(r"\D", "", text)
+    return int(digits[-1]) == luhn_digit(digits[:-1])
+
+
 def _card(text: str, key: str) -> str:
     digits = re.sub(r"\D", "", text)
-    if int(digits[-1]) == luhn_digit(digits[:-1]):
+    if _is_card(text):
         body = _digits(digits[:-1], key, "card")
         return _refill(text, body + str(luhn_digit(body)))
     return _refill(text, _digits(digits, key, "number"))
@@ -100,12 +105,32 @@ def _classes(text: str, key: str, kind: str, alphabets: tuple[str, ...] = _ALPHA
     return "".join(reversed(out))
 
 
+#: Lengths by country, of the registry. Others are tried at every length.
+_IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+
+
+def _iban_reading(text: str) -> int:
+    """How many characters at the start of the text are an IBAN: of the country's length, else the longest to a word's end that is right; or 0."""
+    ends = [m.start() for m in re.finditer(r"(?<=\w)(?!\w)", text)]
+    known = _IBAN_LENGTHS.get(text[:2])
+    for end in sorted(ends, key=lambda e: (len(text[:e].replace(" ", "")) != known, -e)):
+        plain = text[:end].replace(" ", "")
+        if len(plain) >= 15 and int(plain[2:4]) == iban_check(plain[:2], plain[4:]):
+            return end
+    return 0
+
+
 def _iban(text: str, key: str) -> str:
     plain = text.replace(" ", "")
-    country, check, body = plain[:2], plain[2:4], plain[4:]
-    if len(plain) < 15 or int(check) != iban_check(country, body):
-        return text
-    body = _classes(body, key, "iban" + country)
+    country, body = plain[:2], _classes(plain[4:], key, "iban" + plain[:2])
     new = iter(f"{country}{iban_check(country, body):02d}{body}")
     return "".join(c if c == " " else next(new) for c in text)
 
@@ -194,23 +219,30 @@ _HINT = re.compile(r"[0-9@]|(?i:password|passwd|pwd|token|secret|api[_-]?key|acc
 
 
 @lru_cache(maxsize=50_000)
-def _pseudonym(kind: str, text: str, key: str) -> str:
-    return _REPLACE[kind](text, key)
+def _pseudonym(kind: str, text: str, key: str) -> tuple[str, int]:
+    """The pseudonym of the value at the start of the text, and the value's length; 0 where it isn't valid."""
+    used = _iban_reading(text) if kind == "iban" else len(text)
+    return (_REPLACE[kind](text[:used], key), used) if used else ("", 0)
 
 
 def pseudonymise_text(text: str | None, key: str) -> tuple[str | None, int]:
     """The text with all values replaced, and how many were."""
     if not text or not _HINT.search(text):
         return text, 0
-    count = 0
-
-    def put(match: re.Match) -> str:
-        nonlocal count
-        new = _pseudonym(next(k for k in _REPLACE if match[k] is not None), match.group(), key)
-        count += new != match.group()
-        return new
-
-    return _PATTERN.sub(put, text), count
+    count, out, done, at, wrong = 0, [], 0, 0, 0
+    while match := _PATTERN.search(text, at):
+        kind, start = match.lastgroup, match.start()
+        new, used = _pseudonym(kind, match.group(), key)
+        if kind == "card" and start < wrong and not _is_card(match.group()):
+            at = match.end()  # part of an IBAN that isn't right
+        elif used:
+            at = start + used
+            out += (text[done:start], new)
+            count += new != text[start:at]
+            done = at
+        else:
+            at, wrong = start + 4, match.end()  # behind country and check digits: what follows may be another value
+    return "".join(out) + text[done:], count
 
 
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_column: str = "text", count_column: str = "n_replaced") -> DataFrame:

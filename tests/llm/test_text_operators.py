@@ -267,6 +267,28 @@ def test_what_is_not_private_stays():
     assert op9.pseudonymise_text(text, "k") == (text, 0)
 
 
+def test_ibans_of_all_lengths_before_words():
+    tails = ["", " EUR", " BIC", " A", " EURO", " EUROS", " PAYMENT", " 7", " 12", " 2024", " 12345", " EUR 100", " EURO 2024 SEPA", ".", ", X"]
+    bodies = {"XX": "0123456789ABCDEFGHIJKLMNOPQRST", "BE": "539007547034", "ES": "21000418450200051332", "NO": "86011117947", "PL": "109010140000071219812874"}
+    for country, body in bodies.items():
+        for n in range(11, 31) if country == "XX" else [len(body)]:
+            plain = f"{country}{op9.iban_check(country, body[:n]):02d}{body[:n]}"
+            for iban in (plain, " ".join(re.findall(".{1,4}", plain))):
+                for tail in tails:
+                    out, count = op9.pseudonymise_text(f"to {iban}{tail}", "k")
+                    assert count == 1 and iban not in out and out[len(iban) + 3 :] == tail, (iban, tail, out)
+                    new = out[3 : len(iban) + 3].replace(" ", "")
+                    assert int(new[2:4]) == op9.iban_check(country, new[4:])
+
+
+def test_values_behind_what_looks_like_an_iban():
+    card, iban = "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"
+    for head, value, n in (("AB12 ", card, 1), ("XX00 1234 5678 ", iban, 1), ("BE68539007547034 ", card, 2), ("BE68539007547034 ", "AT611904300234573201", 2)):
+        out, count = op9.pseudonymise_text(head + value, "k")
+        assert count == n and value not in out and (n == 1) == out.startswith(head)
+        assert re.sub(r"\w", "x", out) == re.sub(r"\w", "x", head + value)
+
+
 def test_pseudonyms_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "mail a1@b.com"), (4, "mail a1@b.com"), (5, "x " * 50_000 + "a1@b.com")]
     got = {r.doc_id: r for r in op9.pseudonymise(frame(spark, rows)).collect()}
