@@ -6,11 +6,12 @@ values get equal pseudonyms in all documents, so records stay linked. What is fo
 
 - card numbers and other numbers of 13 to 19 digits, in one or in groups: the check digit is kept right where it was right
 - IBANs with right check digits, which stay right, also before words and numbers that look like further groups
-- telephone numbers with a country code or in North American form: the country code stays
+- telephone numbers with a country code or in North American form, also with spaces or a leading 1: the country code stays
 - IPv4 addresses; social security numbers in their valid ranges
-- dates of the calendar (year first, or day or month first, 1900 to 2099): another date, written alike
+- dates of the calendar, 1900 to 2099, in numbers (year first, or day or month first) or with an English month name, days
+  and months of one or two digits, also joined to others: another date, written alike
 - the local part of e-mail addresses: letters for letters, digits for digits
-- access key ids, and values named as passwords, tokens, secrets or API keys
+- access key ids, and values of six characters or more named as passwords, tokens, secrets or API keys: punctuation stays
 
 There is no shuffle. Nulls and odd input: a null text stays null, an empty one empty, with 0 replacements. Values of one
 digit or letter that can't differ stay. Repeated rows get equal pseudonyms. All columns are kept.
@@ -167,23 +168,59 @@ def _date(year: str, month: str, day: str, key: str) -> tuple[int, int, int] | N
     return new.year, new.month, new.day
 
 
-def _iso_date(text: str, key: str) -> str:
-    new = _date(text[:4], text[5:7], text[8:], key)
-    return text if new is None else f"{new[0]:04d}{text[4]}{new[1]:02d}{text[7]}{new[2]:02d}"
+def _written(shape: str, year: int, *rest: int) -> list[str]:
+    """Numbers of a date, day and month without zeros where the shape has one of one digit."""
+    width = 1 if re.search(r"(?<!\d)\d(?!\d)", shape) else 2
+    return [f"{year:04d}", *(str(n).zfill(width) for n in rest)]
 
 
-def _day_date(text: str, key: str) -> str:
+def _iso_date(text: str, key: str) -> str | None:
+    parts = re.split(r"\D", text)
+    new = _date(*parts, key)
+    return None if new is None else text[4].join(_written(text, *new))
+
+
+def _day_date(text: str, key: str) -> str | None:
     """Day first where that is a date, else month first."""
-    a, b, year = text[:2], text[3:5], text[6:]
+    a, b, year = re.split(r"\D", text)
     if (new := _date(year, b, a, key)) is not None:
-        return f"{new[2]:02d}{text[2]}{new[1]:02d}{text[5]}{new[0]:04d}"
+        return re.search(r"\D", text).group().join(reversed(_written(text, *new)))
     if (new := _date(year, a, b, key)) is not None:
-        return f"{new[1]:02d}{text[2]}{new[2]:02d}{text[5]}{new[0]:04d}"
-    return text
+        year, month, day = _written(text, *new)
+        return re.search(r"\D", text).group().join((month, day, year))
+    return None
+
+
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTH = r"(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b\.?"
+_ORDINAL = r"(?i:st|nd|rd|th)?"
+
+
+def _named_date(text: str, key: str) -> str | None:
+    """With the month's name, short where it was short (May counts as long), in capitals or small letters as it was."""
+    word = re.search(r"[A-Za-z]{3,}", text).group()
+    month = next(i for i, name in enumerate(_MONTHS, 1) if name[:3].lower() == word[:3].lower())
+    year, day = re.search(r"\d{4}", text).group(), re.search(r"(?<!\d)\d{1,2}(?!\d)", text).group()
+    if (new := _date(year, str(month), day, key)) is None:
+        return None
+    name = _MONTHS[new[1] - 1]
+    name = name[:3] if len(word) < 5 and word.lower() not in ("may", "june", "july") else name
+    name = name.upper() if word.isupper() else name.lower() if word.islower() else name
+    suffix = "th" if new[2] in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(new[2] % 10, "th")
+
+    def put(match: re.Match) -> str:
+        if match["year"]:
+            return f"{new[0]:04d}"
+        if match["word"]:
+            return name
+        number = f"{new[2]:02d}" if match["day"][0] == "0" else str(new[2])
+        return number + ((suffix.upper() if match["nth"].isupper() else suffix) if match["nth"] else "")
+
+    return re.sub(rf"(?P<year>\d{{4}})|(?P<day>\d{{1,2}})(?P<nth>{_ORDINAL})|(?P<word>[A-Za-z]{{3,}})", put, text)
 
 
 def _phone(text: str, key: str) -> str:
-    match = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", text)
+    match = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|1(?=[ .-]?\(|[ .-]\d{3}[ .-])", text)
     code = match.group() if match else ""
     rest = text[len(code) :]
     return code + _refill(rest, _digits(re.sub(r"\D", "", rest), key, "phone"))
@@ -203,15 +240,24 @@ def _secret(text: str, key: str) -> str:
 
 _KINDS = [
     ("mail", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
-    ("secret", r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key))\s*[:=]\s*[\"']?[A-Za-z0-9+/_.-]{6,}", _secret),
+    ("secret", r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key))\s*[:=]\s*[\"']?(?:[^\s\"'<>&,;]|[&,;](?![\s\"'<>]|$|[\w.-]+=)){6,}", _secret),
     ("key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", lambda t, k: t[:4] + _classes(t[4:], k, "key", ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",))),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
-    ("isodate", r"(?<![\d.-])(?:19|20)\d\d(?P<s1>[-/.])\d\d(?P=s1)\d\d(?![\d-])", _iso_date),
-    ("daydate", r"(?<![\d.-])\d\d(?P<s2>[-/.])\d\d(?P=s2)(?:19|20)\d\d(?![\d-])", _day_date),
-    ("ssn", r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])", _ssn),
-    ("card", r"(?<![\d+-])(?:\d{13,19}|\d{4}(?P<s3>[ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,7}|\d{4}(?P<s4>[ -])\d{6}(?P=s4)\d{5})(?!\d)", _card),
+    ("isodate", r"(?<!\d)(?<!\d\.)(?:19|20)\d\d(?P<s1>[-/.])\d\d?(?P=s1)\d\d?(?!\d)", _iso_date),
+    ("daydate", r"(?<!\d)(?<!\d\.)\d\d?(?P<s2>[-/.])\d\d?(?P=s2)(?:19|20)\d\d(?!\d)", _day_date),
+    (
+        "namedate",
+        rf"\b{_MONTH}[ /-]?\d\d?{_ORDINAL}(?:, ?|[ /-])(?:19|20)\d\d(?!\d)|(?<!\d)\d\d?{_ORDINAL}(?:[ /-]|\. ?| of ){_MONTH}(?:, ?|[ /-])(?:19|20)\d\d(?!\d)|(?<!\d)(?:19|20)\d\d(?:, ?|[ /-]){_MONTH}[ /-]\d\d?(?!\d)",
+        _named_date,
+    ),
+    ("ssn", r"(?<!\d)(?<!\d-)\d{3}-\d\d-\d{4}(?!\d)(?!-\d)", _ssn),
+    ("card", r"(?<!\d)(?:\d{13,19}|\d{4}(?P<s3>[ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,7}|\d{4}(?P<s4>[ -])\d{6}(?P=s4)\d{5})(?!\d)", _card),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)", _ip),
-    ("phone", r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])", _phone),
+    (
+        "phone",
+        r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)(?:1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<!\d)(?<!\d-)(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)(?!-\d)",
+        _phone,
+    ),
 ]
 _PATTERN = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern, _ in _KINDS))
 _REPLACE = {name: f for name, _, f in _KINDS}
@@ -222,7 +268,8 @@ _HINT = re.compile(r"[0-9@]|(?i:password|passwd|pwd|token|secret|api[_-]?key|acc
 def _pseudonym(kind: str, text: str, key: str) -> tuple[str, int]:
     """The pseudonym of the value at the start of the text, and the value's length; 0 where it isn't valid."""
     used = _iban_reading(text) if kind == "iban" else len(text)
-    return (_REPLACE[kind](text[:used], key), used) if used else ("", 0)
+    new = _REPLACE[kind](text[:used], key) if used else None
+    return ("", 0) if new is None else (new, used)
 
 
 def pseudonymise_text(text: str | None, key: str) -> tuple[str | None, int]:
@@ -240,6 +287,8 @@ def pseudonymise_text(text: str | None, key: str) -> tuple[str | None, int]:
             out += (text[done:start], new)
             count += new != text[start:at]
             done = at
+        elif kind != "iban":
+            at = start + 1  # not a date of the calendar
         else:
             at, wrong = start + 4, match.end()  # behind country and check digits: what follows may be another value
     return "".join(out) + text[done:], count

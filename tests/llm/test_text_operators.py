@@ -289,6 +289,56 @@ def test_values_behind_what_looks_like_an_iban():
         assert re.sub(r"\w", "x", out) == re.sub(r"\w", "x", head + value)
 
 
+@pytest.mark.parametrize(
+    "text, values",
+    [
+        ("01/02/2020-03/02/2020", ["01/02/2020", "03/02/2020"]),
+        ("2020/01/01-2020/02/01", ["2020/01/01", "2020/02/01"]),
+        ("2020-01-01-2020-02-01", ["2020-01-01", "2020-02-01"]),
+        ("from -31-12-1999-", ["31-12-1999"]),
+        ("2020-13-12-2021", ["13-12-2021"]),
+        ("on 3/5/2021.", ["3/5/2021"]),
+        ("on 2021-3-5,", ["2021-3-5"]),
+        ("born 5.3.1980", ["5.3.1980"]),
+        ("March 5, 2021", ["March 5, 2021"]),
+        ("5 March 2021", ["5 March 2021"]),
+        ("the 22nd of SEP 2021", ["22nd of SEP 2021"]),
+        ("05-Mar-2021 and Sept. 5 2021", ["05-Mar-2021", "Sept. 5 2021"]),
+        ("2021 may 31", ["2021 may 31"]),
+        ("Visa-4111111111111111", ["4111111111111111"]),
+        ("Visa-4111-1111-1111-1111", ["4111-1111-1111-1111"]),
+        ("x+4111111111111111", ["4111111111111111"]),
+        ("call 1-800-555-1234", ["800-555-1234"]),
+        ("call 555 123 4567", ["555 123 4567"]),
+        ("call 1 (555) 123-4567", ["(555) 123-4567"]),
+        ("SSN-123-45-6789", ["123-45-6789"]),
+        ("password=p@ssw0rd!", ["p@ssw0rd!"]),
+        ("a?password=p@ss&w0rd&user=b", ["p@ss&w0rd"]),
+    ],
+)
+def test_values_at_the_edges_of_patterns(text, values):
+    out, n = op9.pseudonymise_text(text, "k")
+    assert n == len(values) and not any(v in out for v in values), out
+    # What is around the values stays, and each value keeps the signs between its letters and digits.
+    assert re.split(r"\w+", out) == re.split(r"\w+", text), out
+    head = text.index(values[0])
+    assert out[:head] == text[:head]
+
+
+def test_dates_of_all_forms_map_alike():
+    months = {m[:3].lower(): i for i, m in enumerate(op9._MONTHS, 1)}
+    found = set()
+    for text in ("2021-03-05", "2021/3/5", "05.03.2021", "5/3/2021", "March 5, 2021", "5 Mar 2021", "5th of March 2021", "MARCH 05 2021"):
+        parts = re.findall(r"\d+|[A-Za-z]{3,}", op9.pseudonymise_text(text, "k")[0])
+        named = [p for p in parts if p.isalpha()]
+        numbers = [int(p) for p in parts if p.isdigit()]
+        year = next(n for n in numbers if n > 31)
+        rest = [n for n in numbers if n <= 31]
+        found.add((year, months[named[0][:3].lower()] if named else rest[0 if text[0] == "2" else 1], rest[-1] if named or text[0] == "2" else rest[0]))
+    assert len(found) == 1, found
+    assert op9.pseudonymise_text("February 30, 2021, 2021-2-29, 31/4/2021, May 2021 and 5 of 1999", "k")[1] == 0
+
+
 def test_pseudonyms_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "mail a1@b.com"), (4, "mail a1@b.com"), (5, "x " * 50_000 + "a1@b.com")]
     got = {r.doc_id: r for r in op9.pseudonymise(frame(spark, rows)).collect()}
