@@ -39,9 +39,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest doc_id, of each component of near copies."""
-    component = jaccard_components(docs).where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(component, docs.doc_id.eqNullSafe(component.doc_id), "left_semi")
+    """One row of each component of near copies: of the smallest doc_id (null is the largest), and there of the smallest hash of the text.
+
+    Rows that repeat doc_id and text are one. Rows of one doc_id with other texts are documents of their own.
+    """
+    # A long's bits with the sign turned, in hexadecimal, sort as the long does.
+    id_ = F.coalesce(F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0"), F.lit("null"))
+    keyed = docs.select(*COLUMNS).withColumn("key", F.concat(id_, F.coalesce(F.md5("text"), F.lit(""))))
+    component = jaccard_components(keyed, id_column="key").where("key = component_id").select("key")
+    rows = keyed.groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return rows.join(component, "key", "left_semi").select("row.*")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

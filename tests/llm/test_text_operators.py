@@ -368,3 +368,15 @@ def test_pipeline(spark):
     whole = pipeline.run(spark, sf).collect()
     digest = lambda rows: hashlib.sha256(repr(sorted(map(tuple, rows))).encode()).hexdigest()
     assert digest(final) == digest(whole) and {r.doc_id for r in final} == {r.doc_id for r in kept.collect()}
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c, d = (" ".join(words(random.Random(i), 60, 10**6)) for i in range(4))
+    rows = [(-5, c), (1, a), (2, b), (2, b), (2, a + " x"), (3, b), (None, d), (None, d), (None, a), (None, None), (None, None), (4, ""), (4, "")]
+    rows += [(10, d + " y"), (10, d + " y"), (-4, c + " z"), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.near_copies(spark, docs, "")
+    assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
+    want = [(-5, c), (1, a), (2, b), (10, d + " y"), (None, None), (4, ""), (5, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
