@@ -72,6 +72,22 @@ def known_new_split(spark, sf_dir):
     return known.select("hash", F.lit("known").alias("outcome")).unionByName(new.select("hash", F.lit("new").alias("outcome")))
 
 
+@query("""SELECT DISTINCT l_suppkey AS section, l_orderkey AS hash FROM lineitem
+EXCEPT SELECT l_suppkey, l_orderkey FROM lineitem WHERE l_linenumber <= 1""")
+def membership_insert_ignore_all(spark, sf_dir):
+    """The same with the whole table as the batch."""
+    keyed = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("section"), F.col("l_orderkey").alias("hash"), "l_linenumber")
+    return items.insert_ignore(keyed, keyed.where("l_linenumber <= 1"), ["section", "hash"])
+
+
+@query("""SELECT o_orderkey AS hash, CASE WHEN o_orderstatus = 'F' THEN 'known' ELSE 'new' END AS outcome FROM orders""")
+def known_new_split_all(spark, sf_dir):
+    """The whole table against the store, which has the orders of status F."""
+    orders = table(spark, sf_dir, "orders").select(F.lit("s").alias("site"), F.col("o_orderkey").alias("hash"), "o_orderstatus")
+    known, new = items.split_known(orders.drop("o_orderstatus"), orders.where("o_orderstatus = 'F'").drop("o_orderstatus"))
+    return known.select("hash", F.lit("known").alias("outcome")).unionByName(new.select("hash", F.lit("new").alias("outcome")))
+
+
 @query("""SELECT l_orderkey AS hash, min(l_linenumber) AS first_line FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey""")
 def insert_once(spark, sf_dir):
     """New rows, one of each key, that the store doesn't have."""
