@@ -5,13 +5,20 @@ labels (good, bad) over the lines of a document is fitted to labelled documents,
 document's label. Scoring takes forward-backward marginals of every line; their mean, weighted by line length,
 goes through a logistic curve that is fitted on the same documents, and is the score.
 
-The fit uses at most `sample` labelled rows (those of the least hashes of doc_id, of texts up to
-`longest` characters): their line features, not their texts, come to the driver. Scoring reads all rows and
-whole texts, where they are, without a shuffle. Language, source, doc_id and labels are no features.
+Since labels are known for whole documents only, the chain sees no change of label when it is fitted; a document's
+own lines then differ by their features and by what the lines around them say.
+
+The fit uses at most `sample` labelled documents (those of the least hashes of doc_id; of these, texts of up to
+`longest` characters and `most_lines` lines): their line features, not their texts, come to the driver, which bounds
+them to `sample` * `most_lines` rows of 160 bytes. Scoring reads all rows and whole texts, where they are, without a
+shuffle; a text of many lines is scored in blocks of lines, so memory grows by about a hundred bytes a line.
+Language, source, doc_id and labels are no features.
 
 Nulls and odd input: a null or empty text is one empty line. Labels that are null or neither 0 nor 1 aren't
-used; of repeated labels of a document the smallest counts. Without both labels in the sample every document scores 1. Repeated
-rows score alike. An empty table gives an empty table.
+used; of repeated labels of a document the smallest counts, and of rows that repeat a doc_id the least text is fitted.
+Without both labels in the sample every document scores the share of label 1, (ones + 1/2) / (labels + 1): 0.5 without
+any. Repeated rows score alike. An empty table gives an empty table. Columns are kept whatever their names, but for
+one named `score`, which is replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +35,9 @@ from presswork.llm.textarrays import slices, span_hashes, utf8, word_spans
 
 SAMPLE = 3000
 LONGEST = 20_000
+MOST_LINES = 200
+#: Lines of a text that are scored at once.
+BLOCK = 16_384
 
 _KINDS = np.zeros((6, 256), dtype=bool)  # letters, capitals, digits, symbols, exclamation marks, bars
 _KINDS[0, [*range(65, 91), *range(97, 123), *range(0xC2, 0xF5)]] = True
@@ -183,6 +193,41 @@ def document_means(x: np.ndarray, length: np.ndarray, firsts: np.ndarray, weight
     return np.add.reduceat(good * weight, firsts[:-1]) / np.add.reduceat(weight, firsts[:-1]) if len(firsts) > 1 else np.zeros(0)
 
 
+def _scan(start: np.ndarray, steps: np.ndarray, block: int = 4096) -> np.ndarray:
+    """Log sums over all paths from `start` (2) through 2 x 2 steps, after each of them; blocks by doubling."""
+    out = np.empty((len(steps), 2))
+    for low in range(0, len(steps), block):
+        through, reach = steps[low : low + block].copy(), 1
+        while reach < len(through):
+            first, then = through[:-reach], through[reach:]
+            through[reach:] = np.logaddexp(first[:, :, :1] + then[:, :1, :], first[:, :, 1:] + then[:, 1:, :])
+            reach *= 2
+        out[low : low + block] = np.logaddexp(start[0] + through[:, 0], start[1] + through[:, 1])
+        start = out[min(low + block, len(steps)) - 1]
+    return out
+
+
+def long_mean(data: np.ndarray, weights: np.ndarray, move: np.ndarray) -> float:
+    """`document_means` of one text of many lines. A block takes along the two lines before and the one behind it."""
+    breaks = np.flatnonzero(data == 10)
+    lines = len(breaks) + 1
+    begins, ends = np.append(0, breaks + 1), np.append(breaks, len(data))
+    emit, length = np.empty((lines, 2)), ends - begins
+    for low in range(0, lines, BLOCK):
+        high = min(low + BLOCK, lines)
+        first, last = max(low - 2, 0), min(high + 1, lines)
+        x, _, _ = line_features(data[begins[first] : ends[last - 1]], np.array([0, ends[last - 1] - begins[first]]))
+        emit[low:high] = _emissions(x[low - first : high - first], weights)
+    forward, backward = np.empty((lines, 2)), np.zeros((lines, 2))
+    forward[0] = emit[0]
+    if lines > 1:
+        steps = move + emit[1:, None, :]
+        forward[1:] = _scan(emit[0], steps)
+        backward[:-1] = _scan(np.zeros(2), steps[::-1].transpose(0, 2, 1))[::-1]
+    good = np.exp(forward[:, 1] + backward[:, 1] - np.logaddexp(forward[-1, 0], forward[-1, 1]))
+    return float(np.average(good, weights=length + 1.0))
+
+
 def fit_curve(means: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve from mean to label, by Newton's method with a little decay."""
     design = np.stack([means - 0.5, np.ones_like(means)], axis=1)
@@ -195,29 +240,32 @@ def fit_curve(means: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = utf8(batch.column(0))
-        for low, high in slices(offsets):
-            x, length, firsts = line_features(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-            own = x.astype(np.float32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array([own[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)], pa.binary()), pa.array([length[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)], pa.binary())],
-                names=["label", "h", "x", "length"],
-            )
+def _features(most_lines: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for low, high in slices(offsets):
+                x, length, firsts = line_features(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                own = x.astype(np.float32)
+                for row, a, b in zip(range(low, high), firsts[:-1], firsts[1:], strict=True):
+                    if b - a <= most_lines:
+                        yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, 1), batch.column(2).slice(row, 1), pa.array([own[a:b].tobytes()], pa.binary()), pa.array([length[a:b].tobytes()], pa.binary())], names=["label", "h", "x", "length"])
+
+    return run
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality", sample: int = SAMPLE, longest: int = LONGEST, id_column: str = "doc_id", text_column: str = "text") -> dict | None:
-    """The model: weights, moves and curve. `use`: a condition on the label rows' doc_id that says which may be learned from."""
+def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality", sample: int = SAMPLE, longest: int = LONGEST, most_lines: int = MOST_LINES, id_column: str = "doc_id", text_column: str = "text") -> dict:
+    """The model: weights, moves and curve, or only the share of label 1. `use`: a condition on the label rows' doc_id that says which may be learned from."""
     marked = labels.where(use & F.col(label).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.min(label).cast("int").alias("label"))
     # The row number has a bound, `sample`, so this side can be broadcast at any size of the corpus.
     picked = marked.withColumn("h", F.xxhash64("id", F.lit(11))).orderBy("h", "id").limit(sample)
-    texts = docs.where(F.coalesce(F.length(text_column), F.lit(0)) <= longest).select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(picked), "id").select("text", "label", "h").mapInArrow(_features, "label int, h long, x binary, length binary").limit(2 * sample).collect()
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    chosen = texts.join(F.broadcast(picked), "id").groupBy("id", "label", "h").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = chosen.select("text", "label", "h").mapInArrow(_features(most_lines), "label int, h long, x binary, length binary").collect()
     rows.sort(key=lambda r: (r.h, bytes(r.x)))
     y = np.array([r.label for r in rows], dtype=np.int64)
     if len(set(y.tolist())) < 2:
-        return None
+        return {"share": (float(y.sum()) + 0.5) / (len(y) + 1)}
     parts = [np.frombuffer(r.x, dtype=np.float32).reshape(-1, FEATURES) for r in rows]
     x = np.concatenate(parts).astype(np.float64)
     firsts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
@@ -226,20 +274,30 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality
     return {"weights": weights, "move": move, "curve": fit_curve(document_means(x, length, firsts, weights, move), y)}
 
 
-def score(docs: DataFrame, model: dict | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scores_of(column: pa.Array, model: dict) -> np.ndarray:
+    """The scores of a column of texts."""
+    data, offsets = utf8(column)
+    if "share" in model:
+        return np.full(len(offsets) - 1, model["share"])
+    slope, offset = model["curve"]
+    means = np.empty(len(offsets) - 1)
+    # Features of a line take the memory of some sixty bytes of text.
+    breaks = np.searchsorted(np.flatnonzero(data == 10), offsets)
+    for low, high in slices(offsets + 64 * breaks):
+        own = data[offsets[low] : offsets[high]]
+        if high - low == 1 and breaks[high] - breaks[low] >= BLOCK:
+            means[low] = long_mean(own, model["weights"], model["move"])
+        else:
+            means[low:high] = document_means(*line_features(own, offsets[low : high + 1] - offsets[low]), model["weights"], model["move"])
+    return 1 / (1 + np.exp(-(slope * (means - 0.5) + offset)))
+
+
+def score(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All columns of the documents, and their `score`."""
 
     def run(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts:
-            data, offsets = utf8(batch.column("text"))
-            scores = np.ones(batch.num_rows)
-            if model is not None:
-                slope, offset = model["curve"]
-                for low, high in slices(offsets):
-                    x, length, firsts = line_features(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                    means = document_means(x, length, firsts, model["weights"], model["move"])
-                    scores[low:high] = 1 / (1 + np.exp(-(slope * (means - 0.5) + offset)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores_of(batch.column("text"), model))], names=[*batch.schema.names[:-1], "score"])
 
     rest = [c for c in docs.columns if c != "score"]
     named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)), F.col(text_column).cast("string").alias("text"))

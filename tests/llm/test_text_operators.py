@@ -142,14 +142,64 @@ def test_quality_on_held_out(spark):
 def test_quality_of_odd_rows(spark):
     docs = frame(spark, [(1, None), (2, ""), (3, "a\nb"), (3, "a\nb"), (4, "x " * 50_000), (5, "\n" * 5000)])
     labels = spark.createDataFrame([(3, 1, 0), (3, None, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
-    assert op6.train(docs, labels, F.lit(True)) is None
-    assert {r.score for r in op6.score(docs, None).collect()} == {1.0}
+    for label, share in ((0, 0.25), (1, 0.75)):
+        model = op6.train(docs, labels.withColumn("quality", F.when(F.col("quality").isNotNull(), label)), F.lit(True))
+        assert {r.score for r in op6.score(docs, model).collect()} == {share}
+    assert op6.train(docs, labels.where("false"), F.lit(True)) == {"share": 0.5}
+    assert op6.score(docs.where("false"), {"share": 0.5}).count() == 0
     model = {"weights": np.ones(op6.FEATURES) * 0.1, "move": np.zeros((2, 2)), "curve": (4.0, 0.0)}
     scores = op6.score(docs, model).collect()
     assert len(scores) == 6 and all(0 < r.score < 1 for r in scores)
     assert scores[0].score == scores[1].score and scores[2].score == scores[3].score
 
 
+def brute_score(text, model):
+    """By enumerating paths: the chain's own recursion over one text's lines, in plain Python."""
+    lines = (text or "").split("\n")
+    raw = (text or "").encode()
+    x, length, _ = op6.line_features(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+    emit = [(-float(v) / 2, float(v) / 2) for v in x @ model["weights"]]
+    move = model["move"].tolist()
+    ahead, behind = [None] * len(lines), [None] * len(lines)
+    for i in range(len(lines)):
+        ahead[i] = [emit[i][v] + (np.logaddexp(ahead[i - 1][0] + move[0][v], ahead[i - 1][1] + move[1][v]) if i else 0) for v in (0, 1)]
+    for i in reversed(range(len(lines))):
+        last = i == len(lines) - 1
+        behind[i] = [0 if last else np.logaddexp(*(move[u][v] + emit[i + 1][v] + behind[i + 1][v] for v in (0, 1))) for u in (0, 1)]
+    good = [1 / (1 + np.exp(ahead[i][0] + behind[i][0] - ahead[i][1] - behind[i][1])) for i in range(len(lines))]
+    mean = sum(g * (len(x.encode()) + 1) for g, x in zip(good, lines, strict=True)) / sum(len(x.encode()) + 1 for x in lines)
+    slope, offset = model["curve"]
+    return 1 / (1 + np.exp(-(slope * (mean - 0.5) + offset)))
+
+
+def test_quality_against_plain_recursion(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [None, "", "\n", *("\n".join("".join(rng.choice("abC !|1é") for _ in range(rng.randrange(12))) for _ in range(rng.choice([1, 2, 9, 400]))) for _ in range(20))]
+    model = {"weights": np.random.default_rng(3).normal(size=op6.FEATURES) * 0.3, "move": np.array([[0.4, -1.0], [-0.7, 0.2]]), "curve": (5.0, -0.3)}
+    want = [brute_score(t, model) for t in texts]
+    assert [r.score for r in op6.score(frame(spark, list(enumerate(texts))), model).orderBy("doc_id").collect()] == pytest.approx(want)
+    import pyarrow as pa
+
+    monkeypatch.setattr(op6, "BLOCK", 50)
+    monkeypatch.setattr(op6, "slices", lambda offsets: ((i, i + 1) for i in range(len(offsets) - 1)))
+    assert op6.scores_of(pa.array(texts), model) == pytest.approx(want)
+
+
+def test_quality_of_a_million_lines():
+    import pyarrow as pa
+
+    model = {"weights": np.ones(op6.FEATURES) * 0.1, "move": np.eye(2), "curve": (4.0, 0.0)}
+    got = op6.scores_of(pa.array(["\n" * 1_000_000, "a"]), model)
+    assert ((0 < got) & (got < 1)).all()
+
+
+def test_quality_of_repeated_ids_is_the_same_each_time(spark):
+    docs = frame(spark, [(i % 7, f"line {i}!!\nmore {i}") for i in range(70)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(7)], "doc_id long, quality int, toxic int")
+    one, two = (op6.train(docs.repartition(n), labels, F.lit(True), sample=5) for n in (1, 4))
+    assert np.array_equal(one["weights"], two["weights"]) and one["curve"] == two["curve"]
+
+
 # Operator 7
 
 
