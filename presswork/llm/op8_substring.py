@@ -17,7 +17,8 @@ Hashes: an anchor with its stretch is 128 bits, a window is 128 bits.
 
 Nulls and odd input: a null text has no words; texts of fewer than `length` words stay whole. Rows that repeat
 a text, with another or the same doc_id, count as elsewhere for each other, so all lose their windows; a null
-doc_id is kept as it is. An empty table gives an empty table; other columns aren't read.
+doc_id is kept as it is. An empty table gives an empty table; other columns aren't read. Very long texts are read in one
+piece, with some ten times their size in memory.
 """
 
 from __future__ import annotations
@@ -172,9 +173,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     """n_words, n_removed and the kept words (`kept`) of each document."""
     picked = docs.select(F.col(id_column).alias("doc"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     kind = picked.schema["doc"].dataType.simpleString()
-    # Rows are told apart by id and a hash of the text: rows that agree in both are alike in all that follows.
-    keyed = picked.select(F.coalesce(F.xxhash64("doc") if kind not in ("bigint", "int") else F.col("doc").cast("long"), F.lit(0)).alias("id"), F.hash("doc", "text").alias("h"), "text", "doc")
-    name = "id long, h int, "
+    # Rows are told apart by id and a 64-bit hash of id and text; a null id counts as a second hash of the text. Rows
+    # that agree in both are alike in all that follows.
+    own = F.xxhash64("doc") if kind not in ("bigint", "int") else F.col("doc").cast("long")
+    keyed = picked.select(F.when(F.col("doc").isNull(), F.xxhash64(F.lit(17), "text")).otherwise(own).alias("id"), F.xxhash64("doc", "text").alias("h"), "text", "doc")
+    name = "id long, h long, "
     every = stored(keyed.select("id", "h", "text").mapInArrow(_occurrences(length, seed), name + "anchor long, stretch long, low int, high int, times long"))
     again_here, spots = every.where("times = 0").select("id", "h", "low", "high"), every.where("times > 0")
     # Most anchors are in one place only; all that follows is about the others.

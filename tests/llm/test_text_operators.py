@@ -287,6 +287,15 @@ def test_repeats(spark, seed):
     assert remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_repeats_among_many_null_ids(spark):
+    """Rows without an id are told apart by 64 bits at least: nothing is cut from the wrong one."""
+    n = 100_000
+    texts = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: F.concat(F.lit("w"), (F.col("id") * 64 + i).cast("string")))).alias("text"))
+    again = texts.limit(1)
+    out = remove_repeats(texts.unionByName(again))
+    assert out.groupBy("n_removed").count().orderBy("n_removed").collect() == [(0, n - 1), (36, 2)]
+
+
 # Operator 9
 
 
