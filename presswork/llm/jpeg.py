@@ -21,6 +21,8 @@ from presswork.llm.textarrays import ragged
 
 #: Payload bytes are stored less this value, which makes the commonest letters small coefficients.
 CENTRE = 101
+#: A comment that begins so says how long the stored payload is.
+MARK = b"presswork payload\x00"
 RESTART = 4
 
 # Scans as (components, first, last, high, low), in the order in which they are written.
@@ -243,7 +245,7 @@ def write_payloads(payloads: np.ndarray, offsets: np.ndarray, lengths: np.ndarra
     files = []
     for i, (w, h, size) in enumerate(zip(wide.tolist(), high.tolist(), lengths.tolist(), strict=True)):
         frame = _segment(0xC2, struct.pack(">BHHB", 8, h * 16, w * 16, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
-        note = _segment(0xFE, struct.pack(">QQ", size, int(offsets[i + 1] - offsets[i])))
+        note = _segment(0xFE, MARK + struct.pack(">QQ", size, int(offsets[i + 1] - offsets[i])))
         files.append(b"".join([b"\xff\xd8", note, _QUANT, frame, _HUFFMAN, _RESTARTS, *(x for head, scan in zip(heads, scans, strict=True) for x in (head, scan[i])), b"\xff\xd9"]))
     return files
 
@@ -440,8 +442,11 @@ def _refine_lanes(bits: Bits, at: np.ndarray, first: np.ndarray, count: np.ndarr
             at, block, stop, k, run, new, ended = (x[alive] for x in (at, block, stop, k, run, new, ended))
 
 
-def read_coefficients(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
-    """The images, and all their quantised coefficients in zigzag order; `Image.base` has each component's first block."""
+def read_coefficients(files: list[bytes], most_pixels: int | None = None) -> tuple[list[Image], np.ndarray]:
+    """The images, and all their quantised coefficients in zigzag order; `Image.base` has each component's first block.
+
+    Raises an error for a file that isn't one of these, or has more than `most_pixels`, before room is made for it.
+    """
     data = np.frombuffer(b"".join(files), dtype=np.uint8)
     origins = np.cumsum([0, *map(len, files)])
     full = np.flatnonzero(data[:-1] == 0xFF)
@@ -451,6 +456,10 @@ def read_coefficients(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
     images = [parse(f, int(o), ends) for f, o in zip(files, origins, strict=False)]
     blocks = 0
     for image in images:
+        if not image.width or not image.height or not image.scans:
+            raise ValueError("no image in the file")
+        if most_pixels is not None and image.width * image.height > most_pixels:
+            raise ValueError("too many pixels")
         for c in range(len(image.parts)):
             rows, columns, _, _ = image.layout[c]
             image.base.append(blocks)
@@ -565,8 +574,12 @@ def to_rgb(images: list[Image], coefficients: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def payload_of(image: Image, coefficients: np.ndarray) -> tuple[int, np.ndarray]:
-    """What write_payloads stored in this image: its length before padding, and the padded bytes."""
-    size, padded = struct.unpack(">QQ", image.note)
+def payload_of(image: Image, coefficients: np.ndarray) -> tuple[int, np.ndarray] | None:
+    """What write_payloads stored in this image: its length before padding, and the padded bytes; None for other images."""
+    if len(image.note) != len(MARK) + 16 or not image.note.startswith(MARK):
+        return None
+    size, padded = struct.unpack(">QQ", image.note[len(MARK) :])
     base = image.base[0]
+    if padded % 64 or size > padded or padded // 64 > sum(rows * columns for rows, columns, _, _ in image.layout):
+        return None
     return size, (coefficients[base : base + padded // 64].reshape(-1) + CENTRE).astype(np.uint8)

@@ -1,13 +1,14 @@
 """Operator 5: packing token pieces into sequences of a fixed length.
 
-Documents are cut into pieces of at most the sequence length. Pieces go to randomised groups of bounded size
-(a keyed hash of document and position), and each group is packed on its own by first-fit decreasing: a
-tournament tree over the free room of the bins finds the leftmost bin that takes a piece in logarithmic time.
-Only the lengths and names of pieces are shuffled, never token ids.
+Documents are cut into pieces of at most the sequence length. The names and lengths of pieces, without their ids, are
+written with a number of their own each. Pieces go to randomised groups of about `group_pieces` by a hash of that
+number, whatever their doc_id, and each group is packed on its own by first-fit decreasing: a tournament tree over
+the free room of the bins finds the leftmost bin that takes a piece in logarithmic time. Token ids are never shuffled.
 
 Nulls and odd input: a null or empty text is one piece with only the end id. Rows that repeat a document are
-packed each on its own. A null doc_id stays null in the result. Pieces of equal length go in the order of
-doc_id and start. An empty table gives an empty table.
+packed each on its own, as are rows without a doc_id, which stay so. A very long text gives as many pieces as it needs;
+its ids are in memory at once. Pieces of equal length go in the order of doc_id, start and number. An empty table
+gives an empty table. Of `docs` only the id and the text are read, so other columns' names don't matter.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswork.llm.bpe import encoder
-from presswork.llm.common import table, tokenizer_path
+from presswork.llm.common import stored, table, tokenizer_path
 
-GROUP_DOCS = 2048
+GROUP_PIECES = 2048
 
 
 def _cut(path: str, length: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -87,31 +89,38 @@ def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np
 
 def _pack_group(length: int) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("length", "descending"), ("id", "ascending"), ("start", "ascending")])
+        group = group.sort_by([("length", "descending"), ("id", "ascending"), ("start", "ascending"), ("number", "ascending")])
         bins, offsets = first_fit_decreasing(group["length"].to_numpy(), length)
         number = group["group_no"].to_numpy() * (1 << 32) + bins
-        return group.drop_columns(["group_no"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offsets))
+        return group.drop_columns(["group_no", "number"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offsets))
 
     return run
 
 
-def pack(pieces: DataFrame, docs_count: int, length: int = 4096, group_docs: int = GROUP_DOCS, id_column: str = "doc_id") -> DataFrame:
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row with a number that no other row has."""
+    seen = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(seen, seen + batch.num_rows, dtype=np.int64))], names=[*batch.schema.names, "number"])
+        seen += batch.num_rows
+
+
+def pack(pieces: DataFrame, length: int = 4096, group_pieces: int = GROUP_PIECES, id_column: str = "doc_id") -> DataFrame:
     """Gives each piece (id, start, length and any other columns) a sequence_id and its offset there.
 
-    `docs_count` sets the number of groups, so that a group holds about `group_docs` documents whatever the
-    size of the corpus.
+    Pieces and their numbers are written first: a task that is done again reads the same ones.
     """
-    groups = max(1, -(-docs_count // group_docs))
     named = pieces.withColumnRenamed(id_column, "id")
-    salted = named.withColumn("group_no", F.pmod(F.xxhash64("id", "start", "length", F.lit(20240607)), F.lit(groups)).cast("long"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema) + ", sequence_id long, offset long"
-    return salted.groupBy("group_no").applyInArrow(_pack_group(length), kinds).withColumnRenamed("id", id_column)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema)
+    staged = stored(named.mapInArrow(_numbered, kinds + ", number long"))
+    groups = max(1, -(-staged.count() // group_pieces))
+    salted = staged.withColumn("group_no", F.pmod(F.xxhash64("number", F.lit(20240607)), F.lit(groups)).cast("long"))
+    return salted.groupBy("group_no").applyInArrow(_pack_group(length), kinds + ", sequence_id long, offset long").withColumnRenamed("id", id_column)
 
 
 def pack_documents(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2) -> DataFrame:
     """Pieces of all documents with their checksum and place."""
-    pieces = cut(docs, path, length, end_id).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(pieces, docs.count(), length)
+    return pack(cut(docs, path, length, end_id).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), length)
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
