@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -34,7 +35,11 @@ def words(rng, n, vocabulary=40):
 # Operator 3
 
 
-def within_one(a, b):
+def within_one(a, b, least=16):
+    if a == b:
+        return True
+    if min(len(a), len(b)) < least:
+        return False
     if abs(len(a) - len(b)) > 1:
         return False
     if len(a) > len(b):
@@ -45,8 +50,8 @@ def within_one(a, b):
     return a == b or (a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :])
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_lines(spark, seed):
+@pytest.mark.parametrize(("seed", "least"), [(1, 0), (2, 0), (3, 16)])
+def test_lines(spark, seed, least):
     rng = random.Random(seed)
     base = ["the quick brown fox jumps over it", "hello", "a", "ab", "éàü ñandú 漢字", "a" * 50]
 
@@ -67,9 +72,9 @@ def test_lines(spark, seed):
     want = collections.Counter()
     for d, t in rows:
         split = [] if t is None else t.split("\n")
-        gone = [bool(y := x.strip(SPACE)) and any(p < place(d, n) and z and within_one(z, y) for p, z in lines) for n, x in enumerate(split)]
+        gone = [bool(y := x.strip(SPACE)) and any(p < place(d, n) and z and within_one(z, y, least) for p, z in lines) for n, x in enumerate(split)]
         want[d, "\n".join(x for x, g in zip(split, gone, strict=True) if not g), len(split), sum(gone)] += 1
-    got = collections.Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in drop_lines(frame(spark, rows)).collect())
+    got = collections.Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in drop_lines(frame(spark, rows), least=least).collect())
     assert got == want
 
 
@@ -80,6 +85,30 @@ def test_lines_that_differ_in_one_place_of_many(spark):
     assert [(r.doc_id, r.text) for r in got] == [(0, "page 0 of the same book")]
 
 
+def test_lines_with_other_numbers_stay(spark):
+    rows = [(i, f"ref {i}\n{2020 + i}\n2024-01-{10 + i}") for i in range(5)]
+    assert {r.n_removed for r in drop_lines(frame(spark, rows)).collect()} == {0}
+    equal = [(1, "short\nsome longer line of text"), (2, "short\nsome longer line of tex")]
+    assert [r.n_removed for r in drop_lines(frame(spark, equal), bound=0).orderBy("doc_id").collect()] == [0, 1]
+    assert [r.n_removed for r in drop_lines(frame(spark, equal)).orderBy("doc_id").collect()] == [0, 2]
+
+
+def test_lines_of_a_megabyte(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefg é漢") for _ in range(1_000_000)) + "x"
+    rows = [(1, long), (2, long[:500_000] + "Q" + long[500_001:]), (3, long[:700_000] + long[700_001:]), (4, long[:9] + "QQ" + long[9:]), (5, long[:3] + "Q" + long[4:800_000] + "Q" + long[800_001:])]
+    begin = time.time()
+    assert [r.n_removed for r in drop_lines(frame(spark, rows)).orderBy("doc_id").collect()] == [0, 1, 1, 0, 0]
+    assert time.time() - begin < 120
+
+
+def test_common_lines(spark):
+    """A line in a third of all rows, which is handled by broadcast, and rows that repeat."""
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the very common line").otherwise(F.concat(F.lit("a line of its own, number "), F.sha1(F.col("id").cast("string")))).alias("text"))
+    out = drop_lines(docs).groupBy("n_removed").count().orderBy("n_removed").collect()
+    assert out == [(0, 6001), (1, 2999)]
+
+
 # Operator 4
 
 
