@@ -8,14 +8,19 @@
    bytes each, slot `s` being in shard `s div per_shard` at byte `(s mod per_shard) * stride`. A reader that
    stopped at slot s goes on at that shard and byte, without reading what is before.
 
-A record is doc_id (8 bytes), start (8), length (4), four bytes 0, then `length` ids of two bytes and zeros.
+A record is doc_id (8 bytes), start (8), length (4), four bytes 0, then `length` ids and zeros. Ids have two bytes,
+or four where the tokenizer has more than 65,536; each shard says how many. A shard is one compressed cell of a Parquet
+file, so a reader that resumes loads its first shard whole (`per_shard` * `stride` bytes) and goes on from the byte.
 
 Nulls and odd input: a null or empty text is one sequence with only the end id; a null doc_id is stored as the
-smallest long and read back as null. Repeated rows get a slot each. An empty table gives no shards.
+smallest long and read back as null. Repeated rows get a slot each. A very long text gives as many sequences as it
+needs; its ids are in memory at once. An empty table gives no shards. Only doc_id and text are read, so other columns'
+names don't matter.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +38,15 @@ ROUNDS = 6
 NO_ID = -(1 << 63)
 #: Rows of 16 bytes, one for each task that wrote; with more of them the join is left to Spark.
 MOST_BROADCAST = 100_000
+TASK_BYTES = 256 << 20
+SHARDS = "shard long, records int, id_bytes int, payload binary"
+
+
+def vocabulary(tokenizer: str) -> int:
+    """One more than the largest id of a tokenizer file."""
+    with open(tokenizer, encoding="utf-8") as f:
+        own = json.load(f)
+    return 1 + max([*own["model"]["vocab"].values(), *(t["id"] for t in own.get("added_tokens", []))], default=0)
 
 
 def _round(half: np.ndarray, key: int, number: int) -> np.ndarray:
@@ -60,33 +74,38 @@ def feistel(values: np.ndarray, n: int, key: int, inverse: bool = False) -> np.n
     return out.astype(np.int64)
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, seen = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype="<u4").astype("<u2")
-        at = np.concatenate([[0], np.cumsum(batch.column("length").to_numpy())]) * 2
-        rows = batch.num_rows
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("start"),
-                batch.column("length").cast(pa.int32()),
-                pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids)]),
-                pa.array(np.full(rows, part, dtype=np.int32)),
-                pa.array(np.arange(seen, seen + rows, dtype=np.int64)),
-            ],
-            names=["doc_id", "start", "length", "ids", "part", "own"],
-        )
-        seen += rows
-
-
-def _shards(per_shard: int, length: int):
-    stride = HEAD + 2 * length
+def _number(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype="<u4")
+            if len(ids) and int(ids.max()) >> 8 * width:
+                raise ValueError(f"an id of {int(ids.max())} doesn't fit into {width} bytes")
+            at = np.concatenate([[0], np.cumsum(batch.column("length").to_numpy())]) * width
+            rows = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("start"),
+                    batch.column("length").cast(pa.int32()),
+                    pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids.astype(f"<u{width}"))]),
+                    pa.array(np.full(rows, part, dtype=np.int32)),
+                    pa.array(np.arange(seen, seen + rows, dtype=np.int64)),
+                ],
+                names=["doc_id", "start", "length", "ids", "part", "own"],
+            )
+            seen += rows
+
+    return run
+
+
+def _shards(per_shard: int, length: int, width: int):
+    stride = HEAD + width * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Records come in the order of their slots, and a shard's records are all in one partition."""
         current, room, filled = None, None, 0
-        done = lambda: pa.RecordBatch.from_arrays([pa.array([current]), pa.array([filled], pa.int32()), pa.array([room[: filled * stride].tobytes()])], names=["shard", "records", "payload"])
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([current]), pa.array([filled], pa.int32()), pa.array([width], pa.int32()), pa.array([room[: filled * stride].tobytes()])], names=["shard", "records", "id_bytes", "payload"])
         for batch in batches:
             slots = batch.column("slot").to_numpy()
             heads = np.zeros(batch.num_rows, dtype=[("id", "<i8"), ("start", "<i8"), ("length", "<i4"), ("pad", "<i4")])
@@ -107,13 +126,14 @@ def _shards(per_shard: int, length: int):
     return run
 
 
-def write_training_order(docs: DataFrame, tokenizer: str, out: str, key: int, length: int = 512, per_shard: int = 512, end_id: int = 2) -> int:
-    """Writes the shards to the folder `out`; returns the number of sequences."""
+def write_training_order(docs: DataFrame, tokenizer: str, out: str, key: int, length: int = 512, per_shard: int = 512, end_id: int = 2, id_bytes: int | None = None) -> int:
+    """Writes the shards to the folder `out`; returns the number of sequences. `id_bytes`: 2 or 4, else as the tokenizer needs."""
     spark = docs.sparkSession
+    width = id_bytes or (2 if vocabulary(tokenizer) <= 1 << 16 and end_id < 1 << 16 else 4)
     pieces = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenizer, length, end_id)
     staged_at = shared_dir(spark)
     kinds = "doc_id long, start long, length int, ids binary, part int, own long"
-    pieces.mapInArrow(_number, kinds).write.option("compression", "zstd").parquet(staged_at)
+    pieces.mapInArrow(_number(width), kinds).write.option("compression", "zstd").parquet(staged_at)
     staged = spark.read.schema(kinds).parquet(staged_at)
     # A row for each task that wrote: the bases come from a running total of their counts.
     counts = staged.groupBy("part").count()
@@ -128,9 +148,11 @@ def write_training_order(docs: DataFrame, tokenizer: str, out: str, key: int, le
 
     slots = staged.join(bases, "part").select("doc_id", "start", "length", "ids", slot_of(F.col("base") + F.col("own")).alias("slot"))
     shards = max(1, -(-n // per_shard))
-    partitions = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # A partition holds about `TASK_BYTES` at most, however large the corpus is.
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * (HEAD + width * length) // TASK_BYTES))
+    partitions = max(1, min(shards, wanted))
     ordered = slots.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartitionByRange(partitions, "shard").sortWithinPartitions("slot")
-    written = ordered.select("doc_id", "start", "length", "ids", "slot").mapInArrow(_shards(per_shard, length), "shard long, records int, payload binary")
+    written = ordered.select("doc_id", "start", "length", "ids", "slot").mapInArrow(_shards(per_shard, length, width), SHARDS)
     written.write.option("compression", "zstd").parquet(out)
     return n
 
@@ -140,12 +162,10 @@ def read_training_order(spark: SparkSession, path: str, length: int = 512, per_s
 
     Only the shards from that slot's shard on are read.
     """
-    stride = HEAD + 2 * length
-    kind = np.dtype([("id", "<i8"), ("start", "<i8"), ("length", "<i4"), ("pad", "<i4"), ("ids", "<u2", (length,))])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for shard, width, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                kind = np.dtype([("id", "<i8"), ("start", "<i8"), ("length", "<i4"), ("pad", "<i4"), ("ids", f"<u{width}", (length,))])
                 records = np.frombuffer(payload.as_buffer(), dtype=kind)
                 place = np.arange(len(records), dtype=np.int64)
                 slots = place + shard * per_shard
@@ -162,13 +182,13 @@ def read_training_order(spark: SparkSession, path: str, length: int = 512, per_s
                         pa.array(sizes),
                         pa.Array.from_buffers(pa.binary(), len(slots), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(ids)]),
                         pa.array(np.full(len(slots), shard, dtype=np.int64)),
-                        pa.array(place * stride),
+                        pa.array(place * kind.itemsize),
                     ],
                     names=["slot", "doc_id", "start", "length", "ids", "shard", "byte_offset"],
                 )
 
-    shards = spark.read.schema("shard long, records int, payload binary").parquet(path).where(F.col("shard") >= first_slot // per_shard)
-    return shards.select("shard", "payload").mapInArrow(run, "slot long, doc_id long, start long, length long, ids binary, shard long, byte_offset long")
+    shards = spark.read.schema(SHARDS).parquet(path).where(F.col("shard") >= first_slot // per_shard)
+    return shards.select("shard", "id_bytes", "payload").mapInArrow(run, "slot long, doc_id long, start long, length long, ids binary, shard long, byte_offset long")
 
 
 def op2_training_order(spark, sf_dir: str) -> DataFrame:

@@ -10,8 +10,10 @@ its k-th best score so far; then every block of queries meets every block of can
 and gives only rows that reach those scores. A ranking over the rows of each query ends it.
 
 Nulls and odd input: rows with a null id, a null vector, or a null or non-finite component take no part, and
-vectors meet only vectors of their own length. Rows that repeat a query's id aren't its candidates. Ties go
-to the smaller id. Scores are exact while they are below 2 ** 53. An empty table gives an empty table.
+vectors meet only vectors of their own length. Rows that repeat a query's id aren't its candidates, and have one ranking
+with it. Ties go to the smaller id. Scores are exact integers as long as they fit into 64 bits, however large the
+products that they are sums of. An empty table gives an empty table. Only the id and the vector are read, so other
+columns' names don't matter; a vector's length is bounded by memory alone.
 """
 
 from __future__ import annotations
@@ -40,45 +42,62 @@ def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     return np.array([m for m, _ in parts] + [s for _, s in parts]).T.reshape(len(vectors), -1)
 
 
+LOWEST = np.iinfo(np.int64).min
+
+
+def _levels(vectors: np.ndarray) -> list[np.ndarray]:
+    """Statistics of each level, and a share of the vector's norm, which makes each bound larger than its rounding errors."""
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return [np.concatenate([segment_statistics(vectors, s), norm * 10**-4.5], axis=1) for s in LEVELS]
+
+
 def search(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (query, candidate, score) that may be among a query's k best: those of the k best here that reach the query's floor."""
-    levels = [(segment_statistics(queries, s), segment_statistics(vectors, s)) for s in LEVELS]
+    """Rows (query, candidate, score) that may be among a query's k best: those of the k best here that reach the query's floor.
+
+    Queries and vectors are integers. Floors are scores, or LOWEST.
+    """
+    q, v = queries.astype(np.float64), vectors.astype(np.float64)
+    ours, theirs = _levels(q), _levels(v)
+    # Doubles hold each sum of products up to this; beyond, integers that wrap around end in the right sum.
+    small = q.shape[1] * np.abs(q).max(initial=0) * np.abs(v).max(initial=0) < 2**53
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for low in range(0, len(queries), 128):
         own = slice(low, low + 128)
         same = query_ids[own, None] == ids[None, :]
-        bound = levels[0][0][own] @ levels[0][1].T
+        bound = ours[0][own] @ theirs[0].T
         bound[same] = -np.inf
         # Exact scores of the most promising pairs raise the floor before anything is pruned.
         first = min(2 * k, len(ids))
         likely = np.argpartition(-bound, first - 1, axis=1)[:, :first]
-        score = np.einsum("qcd,qd->qc", vectors[likely], queries[own])
-        score[np.take_along_axis(same, likely, axis=1)] = -np.inf
+        score = (np.einsum("qcd,qd->qc", v[likely], q[own]) if small else np.einsum("qcd,qd->qc", vectors[likely], queries[own])).astype(np.int64)
+        score[np.take_along_axis(same, likely, axis=1)] = LOWEST
         floor = floors[own].copy()
         if first >= k:
             floor = np.maximum(floor, np.partition(score, first - k, axis=1)[:, first - k])
-        slack = 1e-9 * (1 + np.abs(floor))
-        slack[np.isinf(floor)] = 0
-        alive = (bound >= (floor - slack)[:, None]) & ~same
+        least = np.where(floor == LOWEST, -np.inf, floor.astype(np.float64))
+        alive = (bound >= least[:, None]) & ~same
         rows, columns = np.nonzero(alive)
-        for ours, theirs in levels[1:]:
+        for level in range(1, len(LEVELS)):
             if len(rows) * 8 > alive.size:
-                fine = (ours[own] @ theirs.T)[rows, columns]
+                fine = (ours[level][own] @ theirs[level].T)[rows, columns]
             else:
-                fine = np.einsum("pd,pd->p", ours[own][rows], theirs[columns])
-            keep = fine >= (floor - slack)[rows]
+                fine = np.einsum("pd,pd->p", ours[level][own][rows], theirs[level][columns])
+            keep = fine >= least[rows]
             rows, columns = rows[keep], columns[keep]
-        if len(rows) * 8 > alive.size:
-            exact = (queries[own] @ vectors.T)[rows, columns]
-        else:
+        if not small:
             exact = np.einsum("pd,pd->p", queries[own][rows], vectors[columns])
+        elif len(rows) * 8 > alive.size:
+            exact = (q[own] @ v.T)[rows, columns].astype(np.int64)
+        else:
+            exact = np.einsum("pd,pd->p", q[own][rows], v[columns]).astype(np.int64)
         keep = exact >= floor[rows]
         rows, columns, exact = rows[keep], columns[keep], exact[keep]
-        order = np.lexsort((ids[columns], -exact, rows))
+        # Best first; ~ turns the order of integers around without overflow.
+        order = np.lexsort((ids[columns], ~exact, rows))
         rows, columns, exact = rows[order], columns[order], exact[order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
         best = place < k
-        out.append((query_ids[own][rows[best]], ids[columns[best]], exact[best].astype(np.int64)))
+        out.append((query_ids[own][rows[best]], ids[columns[best]], exact[best]))
     return tuple(np.concatenate([x[i] for x in out]) if out else np.zeros(0, dtype=np.int64) for i in range(3))
 
 
@@ -86,7 +105,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0)
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(lists), -1)
 
 
 def _ints(column) -> np.ndarray:
@@ -98,7 +117,7 @@ def _home(k: int):
         queries = group.filter(group["is_query"])
         ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         if queries.num_rows:
-            none = np.full(queries.num_rows, -np.inf)
+            none = np.full(queries.num_rows, LOWEST)
             ids, _, scores = search(_ints(queries["vec_id"]), _matrix(queries["v"]), none, _ints(group["vec_id"]), _matrix(group["v"]), k)
         # Rows of a query are together and best first; its floor is the k-th, if there are so many.
         names, first, count = np.unique(ids, return_index=True, return_counts=True)
@@ -114,7 +133,7 @@ def _cell(k: int):
         queries, others = group.filter(side), group.filter(pa.compute.invert(side))
         found = tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
         if queries.num_rows and others.num_rows:
-            floors = queries["floor"].cast(pa.float64()).fill_null(-np.inf).to_numpy()
+            floors = queries["floor"].fill_null(int(LOWEST)).to_numpy()
             found = search(_ints(queries["vec_id"]), _matrix(queries["v"]), floors, _ints(others["vec_id"]), _matrix(others["v"]), k)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found), strict=True)))
 

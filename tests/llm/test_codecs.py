@@ -139,6 +139,18 @@ def test_op2(spark, tmp_path):
     assert other != {r.slot: (r.doc_id, r.start) for r in rows}
 
 
+def test_op2_of_wide_ids(spark, tmp_path):
+    docs = table(spark, [*ODD, "word " * 300])
+    name = tokenizer_path("word_bpe_49k.json")
+    write_training_order(docs, name, str(tmp_path / "a"), key=5, length=64, per_shard=16, end_id=70_000)
+    rows = read_training_order(spark, str(tmp_path / "a"), 64, 16).collect()
+    assert all(r.byte_offset == r.slot % 16 * (24 + 256) for r in rows)
+    ends = [np.frombuffer(r.ids, "<u4")[-1] for r in rows]
+    assert sum(e == 70_000 for e in ends) == docs.count()
+    with pytest.raises(Exception, match="doesn't fit into 2 bytes"):
+        write_training_order(docs, name, str(tmp_path / "b"), key=5, length=64, end_id=70_000, id_bytes=2)
+
+
 def test_op1(spark):
     docs = table(spark, [*ODD, "é" * 50_000])
     rows = {r.doc_id: r for r in decode_media(encode_media(docs)).collect()}

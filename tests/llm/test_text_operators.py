@@ -130,6 +130,24 @@ def test_top_k(spark, block):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("size", [1e5, 1e6, 1e7])
+def test_top_k_of_large_components(spark, size):
+    """Scores are exact where the products are beyond what doubles hold, also where a small sum is left of large ones."""
+    rng = np.random.default_rng(2)
+    vectors = {i: (rng.normal(size=6) * size).round(3).tolist() for i in range(60)}
+    for i in range(1, 50, 3):
+        one, two = rng.integers(1, 9, 2).tolist()
+        vectors[i] = [vectors[0][1] + one / 64, -vectors[0][0] + two / 64, 0.0, 0.0, 0.0, 0.0]
+    ints = {i: [int(np.floor(np.float64(x) * 64)) for x in v] for i, v in vectors.items()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = set()
+    for q in (0, 20, 40):
+        scored = sorted((-dot(ints[q], ints[c]), c) for c in ints if c != q)
+        assert all(abs(s) < 2**63 for s, _ in scored)
+        want |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(scored[:20])}
+    assert {tuple(r) for r in top_k(spark.createDataFrame([*vectors.items()], "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, block=16).collect()} == want
+
+
 # Operator 6
 
 
