@@ -36,62 +36,57 @@ def path_date(path: Column) -> Column:
     return _iso(*map(_number, found))
 
 
+# Forms of a date phrase: year first in numbers, day first, month first. What may stand between the day and the year of the
+# last form is not the same at the two ends of a title.
+_NAME = "[A-Za-z]{3,9}"
+_PHRASE = rf"[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}|[0-9]{{1,2}}\s+{_NAME}\s+[0-9]{{4}}|{_NAME}\s+[0-9]{{1,2}}%s[0-9]{{4}}"
+_AT_START, _AT_END = _PHRASE % r",\s*", _PHRASE % r",?\s+"
+
+
+def _phrase_date(phrase: Column) -> Column:
+    """The date that a phrase of any form stands for; null where it has no such month or day."""
+    numbers = F.split(phrase, "-")
+    named = _iso(_number(F.right(phrase, F.lit(4))), _month(F.regexp_extract(phrase, _NAME, 0)), _number(F.regexp_extract(phrase, r"(?<![0-9])[0-9]{1,2}(?![0-9])", 0)))
+    return F.when(F.size(numbers) == 3, _iso(*(_number(F.try_element_at(numbers, F.lit(i))) for i in (1, 2, 3)))).otherwise(named)
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def leading_date(text: Column) -> Column:
     """struct(iso, rest) of a date at the start of a title, even if glued to it; null without one."""
-    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    us, eu, iso = r"^([A-Za-z]{3,9})\s+([0-9]{1,2}),\s*([0-9]{4})", r"^([0-9]{1,2})\s+([A-Za-z]{3,9})\s+([0-9]{4})", r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})"
-    part = lambda pattern, i: F.regexp_extract(t, pattern, i)
-    is_us, is_eu = t.rlike(us), t.rlike(eu)
-    date = F.when(is_us, _iso(_number(part(us, 3)), _month(part(us, 1)), _number(part(us, 2)))).when(is_eu, _iso(_number(part(eu, 3)), _month(part(eu, 2)), _number(part(eu, 1)))).otherwise(_iso(*(_number(part(iso, i)) for i in (1, 2, 3))))
-    used = F.when(is_us, part(us, 0)).when(is_eu, part(eu, 0)).otherwise(part(iso, 0))
-    rest = F.regexp_replace(F.regexp_replace(F.substr(t, F.length(used) + 1), "^" + _SEPARATORS, ""), r"(?U)^\s+|\s+$", "")
-    return F.when(date.isNotNull(), F.struct(date.alias("iso"), rest.alias("rest")))
-
-
-_PHRASE = re.compile(r"(?P<y1>\d{4})-(?P<m1>\d{1,2})-(?P<d1>\d{1,2})|(?P<d2>\d{1,2})\s+(?P<m2>[A-Za-z]{3,9})\s+(?P<y2>\d{4})|(?P<m3>[A-Za-z]{3,9})\s+(?P<d3>\d{1,2}),?\s+(?P<y3>\d{4})")
-
-
-def last_date(text: str | None) -> tuple[str, str] | None:
-    """(iso, title) of the last date phrase. It is cut from the title only where it looks appended: glued to the end, or before read-time marks."""
-    if not text:
-        return None
-    text = text.strip()
-    last = None
-    for last in _PHRASE.finditer(text):
-        pass
-    if last is None:
-        return None
-    parts = last.groupdict()
-    year, month, day = next((parts[f"y{i}"], parts[f"m{i}"], parts[f"d{i}"]) for i in "123" if parts[f"y{i}"])
-    month = int(month) if month.isdigit() else (MONTHS.index(month[:3].lower()) + 1 if month[:3].lower() in MONTHS else 0)
-    if not (1970 <= int(year) <= 2100 and 1 <= month <= 12 and 1 <= int(day) <= 31):
-        return None
-    iso = f"{int(year)}-{month:02d}-{int(day):02d}"
-    before, after = text[: last.start()], text[last.end() :]
-    appended = (not after and before and not before[-1].isspace()) or re.match(r"\s*(/|min read|\d+\s*min)", after, re.I)
-    if not appended:
-        return iso, text
-    title = re.sub(_SEPARATORS + "$", "", before).strip()
-    token = re.split(_SEPARATORS, title)[-1]
-    # A lone number of up to three digits may belong to the date, so the whole text stays.
-    if not title or (re.fullmatch(r"\d{1,3}", token) and not re.search(r"(19|20)\d\d$", title)):
-        title = text
-    return iso, title
-
-
-def _trailing_date(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([last_date(t) or (None, None) for t in text], columns=["iso", "rest"])
+    t = _stripped(text)
+    phrase = F.regexp_extract(t, f"^(?:{_AT_START})", 0)
+    rest = _stripped(F.regexp_replace(F.substr(t, F.length(phrase) + 1), "^" + _SEPARATORS, ""))
+    iso = F.when(phrase != "", _phrase_date(phrase))
+    return F.when(iso.isNotNull(), F.struct(iso.alias("iso"), rest.alias("rest")))
 
 
 def trailing_date(text: Column) -> Column:
-    return F.pandas_udf(_trailing_date, "iso string, rest string")(text)
-
-
-def visible_date(text: Column) -> Column:
+    """struct(iso, rest) of the last date phrase of a title; null without one.
+
+    The phrase is cut off only where it looks appended: glued to the end, or before read-time marks. Where a lone
+    number of up to three digits would be left at the end, it may belong to the date, and the title stays whole.
+    """
+    t = _stripped(text)
+    phrase = F.try_element_at(F.regexp_extract_all(t, F.lit(f"({_AT_END})"), F.lit(1)), F.lit(-1))
+    after = F.call_function("substring_index", t, phrase, F.lit(-1))
+    before = F.left(t, F.length(t) - F.length(after) - F.length(phrase))
+    glued = (after == "") & before.rlike(r"(?U)\S$")
+    title = _stripped(F.regexp_replace(before, _SEPARATORS + "$", ""))
+    unclear = (title == "") | title.rlike(r"(^|[\s\-–—:·|,])[0-9]{1,3}$")
+    rest = F.when((glued | after.rlike(r"(?i)^\s*(/|min read|[0-9]+\s*min)")) & ~unclear, title).otherwise(t)
+    iso = _phrase_date(phrase)
+    return F.when(iso.isNotNull(), F.struct(iso.alias("iso"), rest.alias("rest")))
+
+
+def written_date(text: str) -> str | None:
     """The first written-out date in a body, month first, else day first."""
-    us = F.regexp_extract(text, rf"\b((?:{LONG_MONTHS})\s+[0-9]{{1,2}},\s+[0-9]{{4}})\b", 1)
-    eu = F.regexp_extract(text, rf"\b([0-9]{{1,2}}\s+(?:{LONG_MONTHS})\s+[0-9]{{4}})\b", 1)
-    return F.when(us != "", us).when(eu != "", eu)
+    for pattern in (rf"\b(?:{LONG_MONTHS})\s+\d{{1,2}},\s+\d{{4}}\b", rf"\b\d{{1,2}}\s+(?:{LONG_MONTHS})\s+\d{{4}}\b"):
+        if found := re.search(pattern, text):
+            return found.group()
+    return None
 
 
 def parse_date(text: Column) -> Column:

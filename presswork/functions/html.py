@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from presswork.functions.dates import written_date
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style"}
 # Tags that an opening tag of the same kind ends, as authors leave them open.
@@ -143,52 +145,106 @@ def page_text(root: Node) -> str:
     return main if len(main) >= max(1, len(whole) // 4) else whole
 
 
-def _density(node: Node) -> float:
-    length = len(squash(node.text(NO_TEXT)))
-    linked = sum(len(squash(a.text())) for a in node.walk() if a.tag == "a")
-    return length - 3 * linked
+def _ink(text: str) -> int:
+    return len("".join(text.split()))
+
+
+def weigh(root: Node) -> dict[Node, tuple[int, int, int, int]]:
+    """Of each element, from the leaves up: characters that aren't white space, without what text leaves out and with it; those in links; elements."""
+    weights: dict[Node, tuple[int, int, int, int]] = {}
+    for node in reversed([root, *root.walk()]):
+        text = whole = linked = size = 0
+        for child in node.children:
+            if isinstance(child, str):
+                text, whole = text + (n := _ink(child)), whole + n
+            elif isinstance(child, Node):
+                t, w, a, n = weights[child]
+                text, whole, linked, size = text + (t if child.tag not in NO_TEXT else 0), whole + w, linked + a, size + n + 1
+        weights[node] = (text, whole, linked + (text if node.tag == "a" else 0), size)
+    return weights
 
 
 def main_content(root: Node) -> Node | None:
     """The article or main element, else the block with the most text outside of links; null without text."""
+    weights = weigh(root)
     for tag in ("article", "main"):
         node = root.find(tag)
-        if node is not None and squash(node.text(NO_TEXT)):
+        if node is not None and weights[node][0]:
             return node
-    blocks = [n for n in root.walk() if n.tag in ("div", "section", "td", "body")]
-    best = max(blocks, key=lambda n: (_density(n) * (0.99 ** sum(1 for _ in n.walk())), -len(n.children)), default=None)
-    return best if best is not None and squash(best.text(NO_TEXT)) else None
 
+    def score(node: Node) -> tuple[float, int]:
+        text, _, linked, size = weights[node]
+        return (text - 3 * linked) * 0.99**size, -len(node.children)
 
-def strip_boilerplate(html: str) -> str:
-    """Without print logos and without navigation and footer blocks, by attribute, class, id, role or tag."""
-    html = re.sub(r"(?is)<!--\s*logo for print\s*-->.*?</p>", "", html, count=1)
-    html = re.sub(r"(?is)<p>\s*<span>\s*An article from\s*</span>.*?</p>", "", html, count=1)
-    root = parse(html)
+    best = max((n for n in root.walk() if n.tag in ("div", "section", "td", "body")), key=score, default=None)
+    return best if best is not None and weights[best][0] else None
+
+
+_PRINT_LOGO = r"(?is)<!--\s*logo for print\s*-->.*?</p>"
+_SYNDICATED = r"(?is)<p>\s*<span>\s*An article from\s*</span>.*?</p>"
+
+
+def _is_boilerplate(node: Node) -> bool:
+    block = node.attrs.get("data-function-block", "").lower()
+    return (
+        node.tag in ("footer", "nav")
+        or any(word in block for word in ("footer", "breadcrumb", "menu", "nav"))
+        or node.attrs.get("role") in ("contentinfo", "navigation")
+        or "footer" in node.attrs.get("class", "").split()
+        or node.attrs.get("id") == "footer"
+    )
+
+
+def clean_tree(root: Node, markers: list[str] | None, base: str | None) -> Node:
+    """Takes away, below `root`, navigation and footer blocks and blocks of up to 600 characters that hold an ad marker, and resolves addresses."""
     for node in root.walk():
-        block = node.attrs.get("data-function-block", "").lower()
-        if (
-            node.tag in ("footer", "nav")
-            or any(word in block for word in ("footer", "breadcrumb", "menu", "nav"))
-            or node.attrs.get("role") in ("contentinfo", "navigation")
-            or "footer" in node.attrs.get("class", "").split()
-            or node.attrs.get("id") == "footer"
-        ):
+        if _is_boilerplate(node):
             node.remove()
-    return root.html()
+        elif base is not None:
+            _absolute(node, base)
+    _drop_ads(root, markers)
+    return root
 
 
-def strip_ads(html: str, markers: list[str] | None) -> str:
-    """Without blocks of up to 600 characters that hold a marker, in any case; a body that quotes one stays."""
+def _drop_ads(root: Node, markers: list[str] | None) -> None:
     keys = [k for k in (squash(m).lower() for m in markers or []) if k]
-    if not keys:
-        return html
-    root = parse(html)
-    for node in root.walk():
-        if node.tag in BLOCKS:
+    weights = weigh(root) if keys else {}
+    for node in root.walk() if keys else ():
+        # Only short blocks are looked into, so nesting doesn't multiply the work.
+        if node.tag in BLOCKS and 0 < weights[node][1] <= AD_LENGTH:
             text = squash(node.text()).lower()
-            if 0 < len(text) <= AD_LENGTH and any(k in text for k in keys):
+            if len(text) <= AD_LENGTH and any(k in text for k in keys):
                 node.remove()
+
+
+def _absolute(node: Node, base: str) -> None:
+    for name in ("src", "href"):
+        value = node.attrs.get(name)
+        if value and not re.match(r"(?i)(data:|#|mailto:|javascript:|tel:)", value) and (full := resolve(value, base)):
+            node.attrs[name] = full
+    if first := node.attrs.get("srcset", "").split(",")[0].split():
+        if full := resolve(first[0], base):
+            node.attrs.pop("srcset")
+            node.attrs["src"] = full
+
+
+def cleaned(main: Node, markers: list[str] | None, base: str) -> str:
+    """The markup inside `main` without print logos, boilerplate and ads, with whole addresses. The tree is used up."""
+    if any("logo for print" in c[0].lower() for n in [main, *main.walk()] for c in n.children if isinstance(c, tuple)) or "an article from" in main.text().lower():
+        text = re.sub(_SYNDICATED, "", re.sub(_PRINT_LOGO, "", main.html(), count=1), count=1)
+        main = parse(text)
+    return clean_tree(main, markers, base).html()
+
+
+def strip_boilerplate(html: str) -> str:
+    """Without print logos and without navigation and footer blocks, by attribute, class, id, role or tag."""
+    return clean_tree(parse(re.sub(_SYNDICATED, "", re.sub(_PRINT_LOGO, "", html, count=1), count=1)), None, None).html()
+
+
+def strip_ads(html: str, markers: list[str] | None) -> str:
+    """Without blocks of up to 600 characters that hold a marker, in any case; a body that quotes one stays."""
+    root = parse(html)
+    _drop_ads(root, markers)
     return root.html()
 
 
@@ -196,14 +252,7 @@ def absolutize(html: str, base: str) -> str:
     """Addresses resolved against the page's; of a source set the first is the source."""
     root = parse(html)
     for node in root.walk():
-        for name in ("src", "href"):
-            value = node.attrs.get(name)
-            if value and not re.match(r"(?i)(data:|#|mailto:|javascript:|tel:)", value) and (full := resolve(value, base)):
-                node.attrs[name] = full
-        if first := node.attrs.get("srcset", "").split(",")[0].split():
-            if full := resolve(first[0], base):
-                node.attrs.pop("srcset")
-                node.attrs["src"] = full
+        _absolute(node, base)
     return root.html()
 
 
@@ -332,15 +381,6 @@ def _name(value: object) -> str | None:
     return value.strip() or None if isinstance(value, str) else None
 
 
-def _written_date(text: str) -> str | None:
-    from presswork.functions.dates import LONG_MONTHS
-
-    for pattern in (rf"\b(?:{LONG_MONTHS})\s+\d{{1,2}},\s+\d{{4}}\b", rf"\b\d{{1,2}}\s+(?:{LONG_MONTHS})\s+\d{{4}}\b"):
-        if found := re.search(pattern, text):
-            return found.group()
-    return None
-
-
 def metadata(root: Node) -> dict[str, str | None]:
     """Title, author, date, image, canonical and own address: JSON-LD, then meta tags, then the time element, then the text."""
     out: dict[str, str | None] = dict.fromkeys(("title", "author", "publishedAt", "image", "canonical", "ogUrl"))
@@ -368,45 +408,56 @@ def metadata(root: Node) -> dict[str, str | None]:
     out["image"] = _name(record.get("image")) or tag("og:image:secure_url", "og:image", "twitter:image")
     if not out["publishedAt"]:
         time = next((n.attrs["datetime"] for n in root.walk() if n.tag == "time" and n.attrs.get("datetime")), None)
-        out["publishedAt"] = time or _written_date(squash((root.find("body") or root).text()))
+        out["publishedAt"] = time or written_date(squash((root.find("body") or root).text()))
     return out
 
 
+LINKS = "struct<anchors:array<struct<url:string,text:string>>,records:array<struct<url:string,title:string,date:string,source:string>>>"
 FIELDS = (
     "struct<content:string,content_text:string,text:string,title:string,"
-    "metadata:struct<title:string,author:string,publishedAt:string,image:string,canonical:string,ogUrl:string>,"
-    "anchors:array<struct<url:string,text:string>>,records:array<struct<url:string,title:string,date:string,source:string>>>"
+    "metadata:struct<title:string,author:string,publishedAt:string,image:string,canonical:string,ogUrl:string>," + LINKS.removeprefix("struct<")
 )
 
 
 def fields_of(html: str | None, url: str | None, markers: list[str] | None) -> dict:
-    """All fields of one page; of a null page all are null or empty."""
+    """All fields of one page, from one tree; of a null page all are null or empty."""
     if html is None:
         return {"content": None, "content_text": None, "text": None, "title": None, "metadata": None, "anchors": [], "records": []}
     root, base = parse(html), url or ""
     title = root.find("title")
-    out = {
-        "text": page_text(root),
-        "title": squash(title.text())[:200] if title else None,
-        "metadata": metadata(root),
-        "anchors": [{"url": u, "text": t} for u, t in anchors(root, base)],
-        "records": [dict(zip(("url", "title", "date", "source"), r, strict=True)) for r in embedded_records(root, base)],
-    }
+    out = {"text": page_text(root), "title": squash(title.text())[:200] if title else None, "metadata": metadata(root), **_links(root, base)}
     main = main_content(root)
     # The text is of the content before boilerplate and ads go; length tests and paywall marks see it so.
     out["content_text"] = squash(main.text(NO_TEXT)) if main else None
-    out["content"] = absolutize(strip_ads(strip_boilerplate(main.html()), markers), base) if main else None
+    out["content"] = cleaned(main, markers, base) if main else None
     return out
 
 
+def _links(root: Node, base: str) -> dict:
+    return {"anchors": [{"url": u, "text": t} for u, t in anchors(root, base)], "records": [dict(zip(("url", "title", "date", "source"), r, strict=True)) for r in embedded_records(root, base)]}
+
+
 def _page_fields(html: pd.Series, url: pd.Series, markers: pd.Series) -> pd.DataFrame:
     names = ["content", "content_text", "text", "title", "metadata", "anchors", "records"]
     return pd.DataFrame([fields_of(h, u, None if m is None else list(m)) for h, u, m in zip(html, url, markers, strict=True)], columns=names)
 
 
+def _page_links(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([{"anchors": [], "records": []} if h is None else _links(parse(h), u or "") for h, u in zip(html, url, strict=True)], columns=["anchors", "records"])
+
+
+# Both parse, which costs more than anything around it. Spark copies a function into each filter that it can push below it; one
+# that isn't known to be deterministic is left in one place, and runs once for each page.
+
+
 def page_fields(html: Column, url: Column, ad_markers: Column | None = None) -> Column:
     """struct of a page's content, texts, title, metadata, anchors and embedded records, from one parse."""
-    return F.pandas_udf(_page_fields, FIELDS)(html, url, F.lit(None).cast("array<string>") if ad_markers is None else ad_markers)
+    return F.pandas_udf(_page_fields, FIELDS).asNondeterministic()(html, url, F.lit(None).cast("array<string>") if ad_markers is None else ad_markers)
+
+
+def page_links(html: Column, url: Column) -> Column:
+    """struct of a page's anchors and embedded records only."""
+    return F.pandas_udf(_page_links, LINKS).asNondeterministic()(html, url)
 
 
 def _sanitize(html: pd.Series) -> pd.Series:

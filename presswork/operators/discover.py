@@ -13,12 +13,14 @@ FOLLOW_TEXT = r"see\s*all|view\s*all|show\s*more|load\s*more|all\s*news|more\s*(
 
 
 def raw_candidates(pages: DataFrame) -> DataFrame:
-    """(page_id, index_url, ord, url, title, date, source) of pages with parsed `fields`: anchors first, then embedded records."""
-    base = pages.select("page_id", F.col("url").alias("index_url"), "fields")
-    links = base.select("page_id", "index_url", F.posexplode("fields.anchors").alias("ord", "a")).select("page_id", "index_url", "ord", "a.url", F.col("a.text").alias("title"), F.lit(None).cast("string").alias("date"), F.lit("anchor").alias("source"))
-    offset = F.size("fields.anchors").alias("offset")
-    records = base.select("page_id", "index_url", offset, F.posexplode("fields.records").alias("ord", "r")).select("page_id", "index_url", (F.col("ord") + F.col("offset")).alias("ord"), "r.url", "r.title", "r.date", "r.source")
-    return links.unionByName(records)
+    """(page_id, index_url, ord, url, title, date, source) of pages with parsed `fields` (anchors and records): anchors first, then embedded records.
+
+    Both kinds are one array before they become rows, so a page's fields are made once.
+    """
+    none = F.lit(None).cast("string")
+    links = F.transform("fields.anchors", lambda a: F.struct(a.url.alias("url"), a.text.alias("title"), none.alias("date"), F.lit("anchor").alias("source")))
+    both = pages.select("page_id", F.col("url").alias("index_url"), F.posexplode(F.concat(links, "fields.records")).alias("ord", "c"))
+    return both.select("page_id", "index_url", "ord", "c.url", "c.title", "c.date", "c.source")
 
 
 def score_candidates(raw: DataFrame, mode: str = "auto") -> DataFrame:

@@ -45,5 +45,5 @@ def test_link_inventory(spark):
 
 def test_metadata_map_and_visible_date(spark):
     row = spark.range(1).select(F.create_map(F.lit("ogTitle"), F.lit("T"), F.lit("title"), F.lit("")).alias("m"), F.lit("By X, July 28, 2026 and 1 May 2025").alias("t"))
-    got = row.select(records.api_metadata(F.col("m")).alias("a"), dates.visible_date(F.col("t")).alias("d")).first()
+    got = row.select(records.api_metadata(F.col("m")).alias("a"), F.lit(dates.written_date("By X, July 28, 2026 and 1 May 2025")).alias("d")).first()
     assert got.a.title == "T" and got.a.author is None and got.d == "July 28, 2026"
