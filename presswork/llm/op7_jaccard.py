@@ -13,15 +13,22 @@ A document's set is its distinct shingles of five words (as 64-bit hashes); two
    - Heavy sets are entered in the inverted lists of their prefix. Sets from 0.8 of the boundary up are in these
      lists too, so pairs across the boundary are found.
    The boundary is the size at which the sum of both costs (subsets made, list entries) is least.
-4. Sets that share a key are compared with the key's first and last set. Sets that are in one component by then
-   need no further comparison, so a group of copies costs a row each, not a pair each. Then step 3 is done again for
-   the sets that still share a key with another component, shingles that only one component has being out of
-   play. In the end, pairs of different components that still share a key are all compared, which makes it exact;
-   before their sets are, bitmaps and the places of the key tell how large the intersection can be at most.
+4. Sets that share a key are compared with two pivots of the key. Sets that are in one component by then need no
+   further comparison, so a group of copies costs a row each, not a pair each. Step 3 is done again for the sets
+   that still share a key with another component, shingles that only one component has being out of play.
+5. What is left is compared with new pivots, turn by turn: each joins what links and leaves the key, as do keys of one
+   component and rows whose remaining shared shingles can't reach the threshold with any size in their key.
+6. When there are a few pairs for each row, or a turn joins too little to take a quarter of the pairs away, pairs of
+   different components that still share a key are tested, which makes it exact. Bitmaps and the places of the key tell
+   how large the intersection can be at most; only pairs that may link leave the join, to be compared by their
+   whole sets. So the pairs that are tested, not those that are made, can outgrow the rows of a key: where sets that
+   are almost copies stay apart, each has to be held against the others.
 
 Nulls and odd input: a document without words or text has an empty set and links with nothing. With fewer
 than five words the whole sequence is the one shingle. Rows that repeat a doc_id keep a row each. A null doc_id
-is kept; a component's id is the smallest doc_id that isn't null. An empty table gives an empty table.
+is kept; a component's id is the smallest doc_id that isn't null. Very long texts are read in one piece, with some
+twenty times their size in memory. An empty table gives an empty table. Of `docs` only the id and the text are read, so
+other columns' names don't matter.
 """
 
 from __future__ import annotations
@@ -40,6 +47,8 @@ from presswork.llm.textarrays import lower_ascii, mix, ragged, run_hashes, slice
 WORDS = 5
 #: Of the hash space, what is counted in step 2. Over 0.2, or nothing would be left out.
 COUNTED = 0.3
+#: Pairs for each row of open keys, up to which the pairs are compared one by one.
+FEW = 4
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,15 +179,15 @@ def _boundary(prefixes: DataFrame) -> int:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link, by their whole sets."""
+    """Those of the pairs (a, b, and any other columns) that link, by their whole sets."""
     first = sets.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     second = sets.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(first, "a").join(second, "b").where(common * 100 >= (F.col("na") + F.col("nb") - common) * 80).select("a", "b")
+    return pairs.join(first, "a").join(second, "b").where(common * 100 >= (F.col("na") + F.col("nb") - common) * 80).select(*pairs.columns)
 
 
 def _prefixes(rows: DataFrame) -> DataFrame:
-    """Of each set its first shingles, rare ones first, without those that only its own component has.
+    """Of each set its shingles (`own`), rare ones first, without those that only its own component has.
 
     rows: s, n, shingle, df of shared shingles, df being the number of components that have it. `single`: how many
     of `front` belong to the prefix of which a partner must share one; the whole `front` is one longer.
@@ -191,43 +200,83 @@ def _prefixes(rows: DataFrame) -> DataFrame:
     return cut.select("s", "n", F.expr("transform(own, x -> x.shingle)").alias("own"), F.size("own").alias("shared"), F.least("single", F.size("own")).alias("single"), F.expr("transform(slice(own, 1, single + 1), x -> x.shingle)").alias("front"))
 
 
-def links(sets: DataFrame, rounds: int = 1) -> DataFrame:
+def _keyed(active: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Prefixes and keys (key, s, n, rest, c) of sets (s, n, shingles, and their component c)."""
+    rows = active.select("s", "n", "c", F.explode("shingles").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("df")).where("low < high").select("shingle", "df")
+    prefixes = stored(_prefixes(rows.join(shared, "shingle").select("s", "n", "shingle", "df")))
+    return prefixes, stored(_keys(prefixes, _boundary(prefixes)).join(active.select("s", "c").distinct(), "s"))
+
+
+def _open(keys: DataFrame) -> DataFrame:
+    """The rows of keys that hold two components, less those that can link with no size that their key has."""
+    key = keys.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least"), F.max("rest").alias("most")).where("low < high")
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * 4 / 5))
+    return keys.join(key, "key").where(_may_link(F.col("n"), F.col("rest"), partner, F.col("most"))).select(*keys.columns)
+
+
+def _pairs_of_keys(keys: DataFrame) -> DataFrame:
+    """(key, rows, pairs): how many pairs of different components each key has."""
+    many = keys.groupBy("key", "c").agg(F.count("*").alias("g")).groupBy("key").agg(F.sum("g").alias("rows"), F.sum(F.col("g") * F.col("g")).alias("same"))
+    return many.select("key", "rows", ((F.col("rows") * F.col("rows") - F.col("same")) / 2).cast("long").alias("pairs")).where("pairs > 0")
+
+
+def _with_pivots(keys: DataFrame, *pivots: Column) -> DataFrame:
+    """(a, b, and their components) of each set with the pivots of its keys, where they may link."""
+    ends = keys.groupBy("key").agg(*(p.alias(f"p{i}") for i, p in enumerate(pivots)))
+    met = keys.join(ends.select("key", F.explode(F.array(*(f"p{i}" for i in range(len(pivots))))).alias("p")), "key")
+    met = met.where((F.col("c") != F.col("p.c")) & _may_link(F.col("n"), F.col("rest"), F.col("p.n"), F.col("p.rest")))
+    first = F.col("s") < F.col("p.s")
+    side = lambda name, one, two: F.when(first, F.col(one)).otherwise(F.col(two)).alias(name)
+    return met.select(side("a", "s", "p.s"), side("b", "p.s", "s"), side("ca", "c", "p.c"), side("cb", "p.c", "c")).distinct()
+
+
+def links(sets: DataFrame, seen: list[tuple[str, int, int]] | None = None) -> DataFrame:
     """(node, root) of all sets in `sets` (s, n, shingles) that link with another one, but the roots.
 
-    Each round orders the shingles of the sets that are still in question by the number of components that have
-    them, compares the sets of each key with its first and its last one, and joins what links. Sets of which no key
-    holds another component are settled. After the rounds, pairs of different components that share a key
-    are compared one by one.
+    `seen` takes (step, rows of open keys, pairs) of each step, for tests and logs.
     """
-    pair = [F.least("s", "p.s").alias("a"), F.greatest("s", "p.s").alias("b")]
-    roots = sets.sparkSession.createDataFrame([], "node long, root long")
-    found, tried, active = None, None, sets.select("s", "n", "shingles", F.col("s").alias("c"))
-    for number in range(rounds + 1):
-        rows = active.select("s", "n", "c", F.explode("shingles").alias("shingle"))
-        shared = rows.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("df")).where("low < high").select("shingle", "df")
-        prefixes = stored(_prefixes(rows.join(shared, "shingle").select("s", "n", "shingle", "df")))
-        keys = stored(_keys(prefixes, _boundary(prefixes)).join(active.select("s", "c").distinct(), "s"))
-        if number == rounds:
+    seen = [] if seen is None else seen
+    pivot = F.struct("s", "n", "rest", "c")
+    _, keys = _keyed(sets.select("s", "n", "shingles", F.col("s").alias("c")))
+    found = stored(_linked(_with_pivots(keys, F.min(pivot), F.max(pivot)), sets).select("a", "b"))
+    roots = components(found)
+    named = keys.select("key", "s").join(roots, keys.s == roots.node, "left").select("key", "s", F.coalesce("root", "s").alias("c"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    active = stored(sets.join(named.join(mixed, "key", "left_semi").select("s", "c").distinct(), "s"))
+    prefixes, keys = _keyed(active)
+    turn, before, linked = 0, None, None
+    while True:
+        turn += 1
+        keys = stored(_open(keys))
+        per_key = _pairs_of_keys(keys)
+        rows, pairs = per_key.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+        seen.append(("open", rows, pairs))
+        if not pairs:
+            return roots if linked is None else components(found.unionByName(linked))
+        if pairs <= FEW * rows or before is not None and pairs > before * 3 / 4:
             break
-        ends = keys.groupBy("key").agg(F.min(F.struct("s", "n", "rest")).alias("one"), F.max(F.struct("s", "n", "rest")).alias("two"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-        with_ends = keys.join(ends.select("key", F.explode(F.array("one", "two")).alias("p")), "key")
-        pairs = with_ends.where((F.col("s") != F.col("p.s")) & _may_link(F.col("n"), F.col("rest"), F.col("p.n"), F.col("p.rest"))).select(*pair).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        more = stored(_linked(pairs, sets))
-        found = more if found is None else found.unionByName(more)
-        roots = components(found)
-        named = keys.drop("c").join(roots, keys.s == roots.node, "left").select("key", "s", F.coalesce("root", "s").alias("c"))
-        mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        open_sets = named.join(mixed, "key", "left_semi").select("s", "c").distinct()
-        active = stored(sets.join(open_sets, "s"))
+        before = pairs
+        # The smallest set of a key links with most, if sets are alike but for shingles of their own; the other is another one in each turn.
+        mark = F.xxhash64("s", F.lit(turn))
+        near = _with_pivots(keys, F.min_by(pivot, F.struct("n", mark)), F.min_by(pivot, mark))
+        more = stored(_linked(stored(near), sets))
+        seen.append(("pivots", turn, more.count()))
+        linked = more.select("a", "b") if linked is None else linked.unionByName(more.select("a", "b"))
+        joined = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        # A pivot has met all of its key, and leaves it.
+        gone = keys.groupBy("key").agg(F.min_by("s", F.struct("n", mark)).alias("p0"), F.min_by("s", mark).alias("p1"))
+        left = keys.join(gone, "key").where((F.col("s") != F.col("p0")) & (F.col("s") != F.col("p1"))).select(*keys.columns)
+        keys = left.join(joined, left.c == joined.node, "left").withColumn("c", F.coalesce("root", "c")).select(*keys.columns)
     mapped = stored(keys.join(prefixes.select("s", "shared", _bitmap(F.col("own")).alias("bits")), "s"))
     one, two = (mapped.select("key", *(F.col(x).alias(f"{x}{i}") for x in ("s", "n", "c", "rest", "shared", "bits"))) for i in (1, 2))
     most = F.least("rest1", F.col("shared1") - _lacking("bits1", "bits2")), F.least("rest2", F.col("shared2") - _lacking("bits2", "bits1"))
     apart = (F.col("s1") < F.col("s2")) & (F.col("c1") != F.col("c2")) & _may_link(F.col("n1"), F.col("rest1"), F.col("n2"), F.col("rest2")) & _may_link(F.col("n1"), most[0], F.col("n2"), most[1])
-    rest = one.join(two, "key").where(apart).select(F.col("s1").alias("a"), F.col("s2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = stored(one.join(two, "key").where(apart).select(F.col("s1").alias("a"), F.col("s2").alias("b")).distinct())
     more = stored(_linked(rest, sets))
-    return components(found.unionByName(more)) if more.take(1) else roots
+    seen.append(("rest", rest.count(), more.count()))
+    linked = more if linked is None else linked.unionByName(more)
+    return components(found.unionByName(linked))
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

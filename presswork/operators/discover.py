@@ -56,6 +56,16 @@ def merge_candidates(scored: DataFrame, most: int = 100) -> DataFrame:
     return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= (most or 100))
 
 
+def merge_pages(merged: DataFrame, group: str, most: int = 100) -> DataFrame:
+    """Candidates of all index pages of a group (a site or section), one row per address: the first page that has it wins, then the best score counts.
+
+    merged: as `merge_candidates` gives it, with the group's column; page_id tells the order of pages.
+    """
+    one = merged.groupBy(group, "url").agg(F.min_by(F.struct("page_id", "title", "date", "source", "score", "ord"), "page_id").alias("m"))
+    best = Window.partitionBy(group).orderBy(F.desc("m.score"), "m.page_id", "m.ord", "url")
+    return one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= (most or 100)).select(group, "url", "m.page_id", "m.title", "m.date", "m.source", "m.score", "rank")
+
+
 def detect_mode(merged: DataFrame) -> DataFrame:
     """(page_id, mode): which kind of source most of a page's 30 best candidates have."""
     top = merged.where("rank <= 30").groupBy("page_id").agg(F.count_if(F.col("source").isin("json", "uri-regex")).alias("json"), F.count_if(F.col("source") == "anchor").alias("anchors"))

@@ -47,7 +47,8 @@ def quality_text(body: Column, date: Column, parsed: Column) -> Column:
 def reprofile_times(runs: DataFrame, site: str = "site", at: str = "at", weak: str = "weak") -> DataFrame:
     """Weak runs of each site that start a new profile: none within six hours after another that did.
 
-    A run that fires resets the clock, so each depends on the one before; sites are folded one by one.
+    A run that fires resets the clock, so each depends on the one before; sites are folded one by one. A site's weak
+    runs, of 8 bytes each, are in memory at once.
     """
     def fold(group: Iterator[pd.DataFrame]) -> pd.DataFrame:
         last, out = None, []
@@ -61,16 +62,31 @@ def reprofile_times(runs: DataFrame, site: str = "site", at: str = "at", weak: s
     return runs.where(weak).select(site, at).groupBy(site).applyInPandas(fold, f"{site} {kind}, {at} timestamp")
 
 
+def reprofile_due(runs: DataFrame, sites: DataFrame, stamps: DataFrame, now: Column) -> DataFrame:
+    """Sites to profile anew: generic ones of a weak run, if that hasn't been done in the last six hours.
+
+    runs: site, parsed, body_ok, date_ok. sites: site, template (null is generic). stamps: site, reprofiled_at.
+    """
+    weak = with_rates(runs.select("site", F.col("new_items").alias("parsed"), "body_ok", "date_ok")).where("weak").select("site")
+    generic = sites.where(F.coalesce("template", F.lit("generic")) != "generic").select("site")
+    due = weak.join(generic, "site", "left_anti").join(stamps, "site", "left")
+    return due.where(F.col("reprofiled_at").isNull() | (F.col("reprofiled_at") + F.expr(f"INTERVAL {COOLDOWN_HOURS} HOURS") < now)).select("site").distinct()
+
+
 def reprocess(items: DataFrame, fields: Column, refetch: bool = False) -> DataFrame:
-    """Items whose stored page now gives something else: the new content, date or title, and what changed. `fields`: parsed from raw_html."""
+    """What the stored pages of items give now: content, date and title, and whether that is `changed` or the `same`.
+
+    Where a page gives no content any more, the outcome is `failed` and the item stays as it is. `fields`: parsed from raw_html.
+    """
     from presswork.functions.dates import parse_date
 
     scope = items if refetch else items.where("raw_html IS NOT NULL")
-    parsed = scope.withColumn("f", fields).where("f.content IS NOT NULL")
+    parsed = scope.withColumn("f", fields)
+    failed = F.col("f.content").isNull()
     new_hash, new_date = F.sha1("f.content"), parse_date(F.col("f.metadata.publishedAt"))
-    content = ~F.col("content_hash").eqNullSafe(new_hash)
-    date = new_date.isNotNull() & ~F.col("published_at").eqNullSafe(new_date)
-    title = (F.coalesce("title", F.lit("")).isin("", "Untitled")) & F.col("f.metadata.title").isNotNull()
+    content = ~failed & ~F.col("content_hash").eqNullSafe(new_hash)
+    date = ~failed & new_date.isNotNull() & ~F.col("published_at").eqNullSafe(new_date)
+    title = ~failed & F.coalesce("title", F.lit("")).isin("", "Untitled") & F.col("f.metadata.title").isNotNull()
     return parsed.select(
         "site",
         "hash",
@@ -78,5 +94,9 @@ def reprocess(items: DataFrame, fields: Column, refetch: bool = False) -> DataFr
         F.when(content, new_hash).otherwise(F.col("content_hash")).alias("content_hash"),
         F.when(date, new_date).otherwise(F.col("published_at")).alias("published_at"),
         F.when(title, F.col("f.metadata.title")).otherwise(F.col("title")).alias("title"),
-        F.when(content | date | title, "changed").otherwise("same").alias("outcome"),
+        F.when(failed, "failed").when(content | date | title, "changed").otherwise("same").alias("outcome"),
     )
+
+
+def outcome_counts(outcomes: DataFrame) -> DataFrame:
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))

@@ -18,12 +18,17 @@ CONFIG = (
 
 SITES = "site string, url string, title string, description string, schedule string, config_json string, module_path string, private boolean, created_at timestamp, last_scrape_at timestamp, last_scrape_status string, last_error string"
 SECTIONS = "site string, section string, index_url string, title string, description string, created_at timestamp"
-ITEMS = f"site string, hash string, url string, title string, published_at timestamp, first_seen timestamp, content_hash string, content_html string, text string, raw_html string, author string, image string, llm {LLM}"
+ITEMS = f"site string, hash string, url string, title string, published_at timestamp, first_seen timestamp, content_hash string, content_html string, text string, raw_html string, author string, image string, metadata {METADATA}, llm {LLM}"
 ITEM_SECTIONS = "site string, section string, hash string"
-RUNS = f"id string, site string, started_at timestamp, finished_at timestamp, status string, discovered long, new_items long, error string, log_excerpt string, quality {QUALITY}"
-KV = "site string, key string, value string"
+RUNS = f"id string, site string, started_at timestamp, finished_at timestamp, status string, discovered long, new_items long, failed long, paywalled long, skipped long, error string, log_excerpt string, quality {QUALITY}"
+#: Changes of key values, in the order of `at`; a null value deletes.
+KV = "site string, key string, value string, at timestamp"
+#: Pages without an article; those to `retry` are for another engine.
+FAILURES = "run string, site string, section string, url string, page_id long, error string, retry boolean"
+#: Runs whose pages have been judged, so that a batch that is tried again goes on from there.
+DECIDED = "run string"
 
-TABLES = {"sites": SITES, "sections": SECTIONS, "items": ITEMS, "item_sections": ITEM_SECTIONS, "runs": RUNS, "kv": KV}
+TABLES = {"sites": SITES, "sections": SECTIONS, "items": ITEMS, "item_sections": ITEM_SECTIONS, "runs": RUNS, "kv": KV, "failures": FAILURES, "decided": DECIDED}
 
 
 def conform(df: DataFrame, schema: str) -> DataFrame:

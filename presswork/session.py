@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,13 +31,15 @@ def session(app: str = "presswork", master: str | None = None, **settings: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder for tables between jobs, in the shared folder that the cluster names.
+    """A new folder for tables between jobs, in the shared folder that the cluster names in `spark.checkpoint.dir`.
 
-    Without `spark.checkpoint.dir` (tests on one machine) it is a temporary folder, which is then also set
-    as the checkpoint folder.
+    Without that setting, and only where all tasks run in this process, it is a temporary folder, which is then also set as
+    the checkpoint folder. On a cluster each executor would write such a folder on its own disk, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="presswork-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/presswork/{uuid.uuid4().hex}"

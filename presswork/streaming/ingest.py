@@ -1,27 +1,31 @@
-"""Incremental ingest: each micro-batch of pages adds items that the store doesn't have, once and for all.
+"""The content store and its incremental ingest: each micro-batch of pages adds items that the store doesn't have, once and for all.
 
-The store itself is the memory of what is known, so there is no watermark and nothing expires. A batch that is
-tried again finds its items there and adds nothing.
+The store itself is the memory of what is known, so there is no watermark and nothing expires. What becomes of a batch's
+pages is decided once and written; a batch that is tried again goes on from there, and every table takes a row once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from presswork.functions import dates, html, text, urls
-from presswork.operators import feeds, items
-from presswork.schemas import ITEM_SECTIONS, ITEMS, RUNS, conform
+from presswork.operators import batches, feeds, items, quality
+from presswork.schemas import DECIDED, TABLES, conform
+from presswork.session import stored
 from presswork.sources.feeds import PAGES
 
+REPROFILED = "reprofiled_at"
+
 
 def parsed_articles(pages: DataFrame, site: Column, first_seen: Column, paywall: list[str] | None = None, ad_markers: list[str] | None = None) -> DataFrame:
-    """Pages as rows of `items`, with body_good, date_good and paywalled. Pages without content and challenge pages go."""
+    """Pages as rows of `items`, with body_good, date_good and paywalled. Pages without content or address go."""
     markers = F.array(*map(F.lit, ad_markers or [])).cast("array<string>")
-    wanted = pages.where(~text.is_bot_gate(F.col("html")) & urls.normalize_url(F.col("url")).isNotNull())
+    wanted = pages.where(urls.normalize_url(F.col("url")).isNotNull())
     parsed = wanted.withColumn("f", html.page_fields(F.col("html"), F.col("url"), markers)).where("f.content IS NOT NULL")
     same = lambda a, b: urls.origin(a) == urls.origin(b)
     url = urls.normalize_url(feeds.canonical_url(F.col("url"), F.col("f.metadata.canonical"), F.col("f.metadata.ogUrl"), same))
@@ -36,9 +40,6 @@ def parsed_articles(pages: DataFrame, site: Column, first_seen: Column, paywall:
         F.sha1("f.content").alias("content_hash"),
         F.col("f.content").alias("content_html"),
         F.col("f.content_text").alias("text"),
-        F.col("html").alias("raw_html"),
-        F.col("f.metadata.author").alias("author"),
-        F.col("f.metadata.image").alias("image"),
         text.body_good(F.col("f.content_text")).alias("body_good"),
         published.isNotNull().alias("date_good"),
         text.has_marker(F.col("f.content_text"), F.array(*map(F.lit, paywall or [])).cast("array<string>")).alias("paywalled"),
@@ -51,55 +52,149 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def read(self, name: str, schema: str) -> DataFrame:
-        from pyspark.errors import AnalysisException
-
+    def read(self, name: str, schema: str | None = None) -> DataFrame:
+        """A table; one that was never written is empty. Any other trouble with it is an error."""
+        schema = schema or TABLES[name]
         try:
-            return conform(self.spark.read.parquet(f"{self.root}/{name}"), schema)
-        except AnalysisException:
+            return conform(self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{name}"), schema)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.root}/{name}")
+        conform(rows, TABLES[name]).write.mode("append").parquet(f"{self.root}/{name}")
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """The table's new rows, which may come from its old ones. Nobody else may write meanwhile."""
+        stored(conform(rows, TABLES[name])).write.mode("overwrite").parquet(f"{self.root}/{name}")
+
+    # Sites, sections and key values
+
+    def add_site(self, site: str, url: str, config_json: str | None = None, template: str = "generic") -> None:
+        row = self.spark.createDataFrame([(site, url, config_json, template)], "site string, url string, config_json string, module_path string")
+        self.append("sites", items.insert_once(row.withColumn("created_at", F.current_timestamp()), self.read("sites"), ["site"], "url"))
+
+    def add_section(self, site: str, section: str, index_url: str) -> None:
+        row = self.spark.createDataFrame([(site, section, index_url)], "site string, section string, index_url string")
+        self.append("sections", items.insert_once(row.withColumn("created_at", F.current_timestamp()), self.read("sections"), ["site", "section"], "index_url"))
+
+    def sites(self) -> DataFrame:
+        """All sites by id, with what their last run says."""
+        last = self.read("runs").groupBy("site").agg(F.max_by(F.struct("finished_at", "status", "error"), F.struct("finished_at", "id")).alias("last"))
+        own = self.read("sites").drop("last_scrape_at", "last_scrape_status", "last_error").join(last, "site", "left")
+        return own.select("*", F.col("last.finished_at").alias("last_scrape_at"), F.col("last.status").alias("last_scrape_status"), F.col("last.error").alias("last_error")).drop("last").orderBy("site")
+
+    def sections(self, site: str) -> DataFrame:
+        return self.read("sections").where(F.col("site") == site).orderBy("created_at", "section")
+
+    def status(self) -> DataFrame:
+        """Per site: sections, items and the last run."""
+        counts = feeds.site_status(self.read("sites").select("site"), self.read("sections"), self.read("items", "site string"))
+        return counts.join(self.sites().select("site", "last_scrape_at", "last_scrape_status", "last_error"), "site", "left").orderBy("site")
+
+    def values(self) -> DataFrame:
+        """(site, key, value) of all keys that are set."""
+        return items.latest_values(self.read("kv"), ["site", "key"], "value", "at")
+
+    def get(self, site: str, key: str) -> str | None:
+        row = self.values().where((F.col("site") == site) & (F.col("key") == key)).first()
+        return row and row.value
+
+    def put(self, site: str, key: str, value: str | None) -> None:
+        self.append("kv", self.spark.createDataFrame([(site, key, value)], "site string, key string, value string").withColumn("at", F.current_timestamp()))
+
+    def delete(self, site: str, key: str) -> None:
+        self.put(site, key, None)
+
+    def remove(self, site: str, section: str | None = None) -> None:
+        """Without a site, or a section and the items that no other section of the site has."""
+        if section is None:
+            gone = self.spark.createDataFrame([(site,)], "site string")
+            for name in ("items", "item_sections", "sections", "runs", "failures", "kv", "sites"):
+                self.replace(name, items.cascade({name: self.read(name)}, gone, "site")[name])
+            return
+        left, members = items.remove_section(self.read("items"), self.read("item_sections"), site, section)
+        left, members = stored(left), stored(members)
+        self.replace("items", left)
+        self.replace("item_sections", members)
+        self.replace("sections", self.read("sections").where((F.col("site") != site) | (F.col("section") != section)))
+
+    # Ingest
 
     def ingest(self, pages: DataFrame, site: Column, section: Column, first_seen: Column, run: str, **options) -> None:
-        """One batch: known pages go before they are parsed, the rest is parsed once, new items and memberships are appended, and a run row is closed."""
-        known = self.read("items", ITEMS).select("site", "hash")
-        seen = pages.withColumn("site", site).withColumn("section", section)
-        fresh = items.unknown(seen.withColumn("_url", urls.normalize_url(F.col("url"))).where("_url IS NOT NULL"), known, "_url").drop("_url")
-        parsed = parsed_articles(fresh, F.col("site"), first_seen, **options).withColumn("section", section)
-        # The batch is used three times, so it is written first; what is read again is exactly what was decided on.
+        """One batch: known pages and listings go before they are parsed, the rest is parsed once; items, memberships, failures and the run row are added."""
         staged = f"{self.root}/_staged/{run}"
-        parsed.write.mode("overwrite").parquet(staged)
+        if self.read("decided").where(F.col("run") == run).isEmpty():
+            seen = pages.withColumn("site", site).withColumn("section", section).withColumn("first_seen", first_seen)
+            known = batches.known_keys(self.read("items", "site string, url string, hash string"))
+            judged = batches.judge(seen, known, self.read("sections"), self.read("sites"), **options)
+            judged.withColumn("started_at", F.current_timestamp()).write.mode("overwrite").parquet(staged)
+            self.append("decided", self.spark.createDataFrame([(run,)], DECIDED))
         batch = self.spark.read.parquet(staged)
-        new = items.insert_once(batch.where("NOT paywalled"), known, ["site", "hash"], "first_seen", "url")
-        members = batch.where("NOT paywalled").select("site", "section", "hash")
-        self.append("item_sections", items.insert_ignore(members, self.read("item_sections", ITEM_SECTIONS), ["site", "section", "hash"]))
-        counts = new.groupBy("site").agg(F.count("*").alias("n"), F.count_if("body_good").alias("good"), F.count_if("date_good").alias("dated"))
-        found = batch.groupBy("site").agg(F.count("*").alias("discovered"))
-        rows = found.join(counts, "site", "left").select(
-            F.lit(run).alias("id"), "site", F.current_timestamp().alias("finished_at"), F.lit("ok").alias("status"), "discovered", F.coalesce("n", F.lit(0)).alias("new_items"),
-            F.struct(F.coalesce("n", F.lit(0)).cast("int").alias("parsed"), F.coalesce("good", F.lit(0)).cast("int").alias("bodyGood"), F.coalesce("dated", F.lit(0)).cast("int").alias("dateGood")).alias("quality"),
-        )
-        self.append("runs", conform(rows, RUNS))
-        self.append("items", conform(new, ITEMS))
+        # Each table takes what it doesn't have yet; the run row comes last, and says that all of it is there.
+        self.append("items", items.insert_once(batches.new_items(batch), self.read("items", "site string, hash string"), ["site", "hash"], "first_seen", "url"))
+        self.append("item_sections", items.insert_ignore(batches.memberships(batch), self.read("item_sections"), ["site", "section", "hash"]))
+        own = self.read("failures").where(F.col("run") == run).select("site", "page_id")
+        self.append("failures", batches.failures(batch).join(own, ["site", "page_id"], "left_anti").withColumn("run", F.lit(run)))
+        idle = self.read("sites").join(self.read("sections"), "site", "left_anti")
+        rows = stored(batches.run_rows(batch, idle))
+        self._stamp_reprofiles(rows)
+        start = batch.agg(F.min("started_at").alias("started_at"))
+        done = self.read("runs").where(F.col("id") == run).select("site")
+        int_ = lambda c: F.col(c).cast("int")
+        finished = rows.join(done, "site", "left_anti").select("*", F.lit(run).alias("id"), F.current_timestamp().alias("finished_at"), F.lit(start.first().started_at).cast("timestamp").alias("started_at"), F.struct(int_("new_items").alias("parsed"), int_("body_ok").alias("bodyGood"), int_("date_ok").alias("dateGood")).alias("quality"))
+        self.append("runs", finished)
+
+    def _stamp_reprofiles(self, rows: DataFrame) -> None:
+        stamps = self.values().where(F.col("key") == REPROFILED).select("site", F.col("value").cast("timestamp").alias(REPROFILED))
+        sites = self.read("sites").select("site", F.col("module_path").alias("template"))
+        due = quality.reprofile_due(rows, sites, stamps, F.current_timestamp())
+        self.append("kv", due.select("site", F.lit(REPROFILED).alias("key"), F.current_timestamp().cast("string").alias("value"), F.current_timestamp().alias("at")))
+
+    def to_reprofile(self, since: Column) -> DataFrame:
+        """Sites whose extraction a run found weak since then."""
+        return self.values().where((F.col("key") == REPROFILED) & (F.col("value").cast("timestamp") >= since)).select("site", F.col("value").cast("timestamp").alias(REPROFILED))
+
+    def to_retry(self) -> DataFrame:
+        """Challenge pages, for another engine, as long as no item has their address."""
+        known = batches.known_keys(self.read("items", "site string, url string, hash string")).select("site", "key")
+        waiting = self.read("failures").where("retry").dropDuplicates(["site", "url"]).withColumn("key", urls.twin_hashes(F.col("url"))[0])
+        return waiting.join(known, ["site", "key"], "left_anti").drop("key")
+
+    def reprocess(self, site: str | None = None, write: bool = True) -> dict[str, int]:
+        """Reads the stored pages of all items, or of a site's, anew, and writes what has changed. How many changed, stayed the same, and failed."""
+        own = self.read("items")
+        scope = own if site is None else own.where(F.col("site") == site)
+        done = stored(quality.reprocess(scope, html.page_fields(F.col("raw_html"), F.col("url"))))
+        changed = done.where("outcome = 'changed'").drop("outcome")
+        if write and not changed.isEmpty():
+            rest = [c for c in own.columns if c not in changed.columns or c in ("site", "hash")]
+            self.replace("items", items.upsert(own, own.select(*rest).join(changed, ["site", "hash"]), ["site", "hash"]))
+        return {r.outcome: r.n for r in quality.outcome_counts(done).collect()}
+
+    # Reading
 
     def feed(self, site: str, section: str | None = None, limit: int = 10) -> DataFrame:
-        own = self.read("items", ITEMS).where(F.col("site") == site)
+        own = self.read("items").where(F.col("site") == site)
         if section:
-            own = items.section_items(own, self.read("item_sections", ITEM_SECTIONS).where((F.col("site") == site) & (F.col("section") == section)), ["site", "hash"])
+            own = items.section_items(own, self.read("item_sections").where((F.col("site") == site) & (F.col("section") == section)), ["site", "hash"])
         return feeds.top_items(own, limit)
 
+    def index(self, site: str) -> DataFrame:
+        """A site's newest items for its index page."""
+        return self.feed(site, limit=feeds.INDEX_ITEMS)
+
     def runs(self, site: str, last: int = 20) -> DataFrame:
-        return self.read("runs", RUNS).where(F.col("site") == site).orderBy(F.desc("finished_at")).limit(last)
+        return self.read("runs").where(F.col("site") == site).orderBy(F.desc("finished_at"), F.desc("id")).limit(last)
 
 
-def stream(spark: SparkSession, source: str, store: Store, checkpoint: str, site: Callable[[], Column], section: Callable[[], Column], first_seen: Callable[[], Column], files_per_batch: int = 1) -> StreamingQuery:
+def stream(spark: SparkSession, source: str, store: Store, checkpoint: str, site: Callable[[], Column], section: Callable[[], Column], first_seen: Callable[[], Column], files_per_batch: int = 1, **options) -> StreamingQuery:
     """Ingests a folder of page files, batch by batch, until none is left."""
     pages = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     name = checkpoint.rstrip("/").rsplit("/", 1)[-1]
 
     def batch(df: DataFrame, number: int) -> None:
-        store.ingest(df, site(), section(), first_seen(), f"{name}-{number}")
+        store.ingest(df, site(), section(), first_seen(), f"{name}-{number}", **options)
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
