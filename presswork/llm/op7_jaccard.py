@@ -16,8 +16,9 @@ A document's set is its distinct shingles of five words (as 64-bit hashes); two
 4. Sets that share a key are compared with two pivots of the key. Sets that are in one component by then need no
    further comparison, so a group of copies costs a row each, not a pair each. Step 3 is done again for the sets
    that still share a key with another component, shingles that only one component has being out of play.
-5. What is left is compared with new pivots, turn by turn: each joins what links and leaves the key, as do keys of one
-   component and rows whose remaining shared shingles can't reach the threshold with any size in their key.
+5. What is left is compared turn by turn: each set with the smallest of its key and with a few others of it at random.
+   What links is joined; keys of one component leave, as do rows whose remaining shared shingles can't reach the
+   threshold with any size in their key. A set that links with a good part of its key is found in a few turns.
 6. When there are a few pairs for each row, or a turn joins too little to take a quarter of the pairs away, pairs of
    different components that still share a key are tested, which makes it exact. Bitmaps and the places of the key tell
    how large the intersection can be at most; only pairs that may link leave the join, to be compared by their
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswork.llm.common import stored, table
@@ -49,6 +50,8 @@ WORDS = 5
 COUNTED = 0.3
 #: Pairs for each row of open keys, up to which the pairs are compared one by one.
 FEW = 4
+#: Others that a set of an open key is compared with in a turn, out of a group of so many.
+PARTNERS, GROUP = 4, 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,10 +212,11 @@ def _keyed(active: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _open(keys: DataFrame) -> DataFrame:
-    """The rows of keys that hold two components, less those that can link with no size that their key has."""
-    key = keys.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least"), F.max("rest").alias("most")).where("low < high")
+    """The rows of keys that hold two components, less those that can link with no size that their key has; with the key's rows (g) and its smallest set (hub)."""
+    hub = F.min_by(F.struct("s", "n", "rest", "c"), F.struct("n", "s"))
+    key = keys.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least"), F.max("rest").alias("most"), F.count("*").alias("g"), hub.alias("hub")).where("low < high")
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * 4 / 5))
-    return keys.join(key, "key").where(_may_link(F.col("n"), F.col("rest"), partner, F.col("most"))).select(*keys.columns)
+    return keys.join(key, "key").where(_may_link(F.col("n"), F.col("rest"), partner, F.col("most"))).select("key", "s", "n", "rest", "c", "g", "hub")
 
 
 def _pairs_of_keys(keys: DataFrame) -> DataFrame:
@@ -221,25 +225,40 @@ def _pairs_of_keys(keys: DataFrame) -> DataFrame:
     return many.select("key", "rows", ((F.col("rows") * F.col("rows") - F.col("same")) / 2).cast("long").alias("pairs")).where("pairs > 0")
 
 
-def _with_pivots(keys: DataFrame, *pivots: Column) -> DataFrame:
-    """(a, b, and their components) of each set with the pivots of its keys, where they may link."""
-    ends = keys.groupBy("key").agg(*(p.alias(f"p{i}") for i, p in enumerate(pivots)))
-    met = keys.join(ends.select("key", F.explode(F.array(*(f"p{i}" for i in range(len(pivots))))).alias("p")), "key")
-    met = met.where((F.col("c") != F.col("p.c")) & _may_link(F.col("n"), F.col("rest"), F.col("p.n"), F.col("p.rest")))
-    first = F.col("s") < F.col("p.s")
+def _met(rows: DataFrame, other: str) -> DataFrame:
+    """(a, b, and their components) of each set with the one in the column `other`, where they may link."""
+    met = rows.where((F.col("c") != F.col(f"{other}.c")) & _may_link(F.col("n"), F.col("rest"), F.col(f"{other}.n"), F.col(f"{other}.rest")))
+    first = F.col("s") < F.col(f"{other}.s")
     side = lambda name, one, two: F.when(first, F.col(one)).otherwise(F.col(two)).alias(name)
-    return met.select(side("a", "s", "p.s"), side("b", "p.s", "s"), side("ca", "c", "p.c"), side("cb", "p.c", "c")).distinct()
+    return met.select(side("a", "s", f"{other}.s"), side("b", f"{other}.s", "s"), side("ca", "c", f"{other}.c"), side("cb", f"{other}.c", "c"))
+
+
+def _with_ends(keys: DataFrame) -> DataFrame:
+    """Each set with the first and last of its keys."""
+    pivot = F.struct("s", "n", "rest", "c")
+    ends = keys.groupBy("key").agg(F.min(pivot).alias("one"), F.max(pivot).alias("two"))
+    return _met(keys.join(ends.select("key", F.explode(F.array("one", "two")).alias("p")), "key"), "p").distinct()
+
+
+def _with_partners(rows: DataFrame, turn: int) -> DataFrame:
+    """Each set with the smallest of its key and with a few others, which are others in each turn.
+
+    A key's sets are dealt at random to groups of a fixed size, so no task has all of a common key.
+    """
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("s", F.lit(turn)), F.ceil(F.col("g") / GROUP)))
+    order = Window.partitionBy("key", "part").orderBy(F.xxhash64("s", F.lit(-turn)), "s")
+    others = F.array(*(F.lag(F.struct("s", "n", "rest", "c"), k).over(order) for k in range(1, PARTNERS + 1)), F.col("hub"))
+    return _met(dealt.withColumn("others", others).select("s", "n", "rest", "c", F.explode("others").alias("p")).where("p IS NOT NULL"), "p").distinct()
 
 
 def links(sets: DataFrame, seen: list[tuple[str, int, int]] | None = None) -> DataFrame:
     """(node, root) of all sets in `sets` (s, n, shingles) that link with another one, but the roots.
 
-    `seen` takes (step, rows of open keys, pairs) of each step, for tests and logs.
+    `seen` takes (step, rows, pairs) of each step, for tests and logs.
     """
     seen = [] if seen is None else seen
-    pivot = F.struct("s", "n", "rest", "c")
     _, keys = _keyed(sets.select("s", "n", "shingles", F.col("s").alias("c")))
-    found = stored(_linked(_with_pivots(keys, F.min(pivot), F.max(pivot)), sets).select("a", "b"))
+    found = stored(_linked(_with_ends(keys), sets).select("a", "b"))
     roots = components(found)
     named = keys.select("key", "s").join(roots, keys.s == roots.node, "left").select("key", "s", F.coalesce("root", "s").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
@@ -248,27 +267,21 @@ def links(sets: DataFrame, seen: list[tuple[str, int, int]] | None = None) -> Da
     turn, before, linked = 0, None, None
     while True:
         turn += 1
-        keys = stored(_open(keys))
-        per_key = _pairs_of_keys(keys)
-        rows, pairs = per_key.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
-        seen.append(("open", rows, pairs))
+        rows = stored(_open(keys))
+        n, pairs = _pairs_of_keys(rows).agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+        seen.append(("open", n, pairs))
         if not pairs:
             return roots if linked is None else components(found.unionByName(linked))
-        if pairs <= FEW * rows or before is not None and pairs > before * 3 / 4:
+        if pairs <= FEW * n or before is not None and pairs > before * 3 / 4:
             break
         before = pairs
-        # The smallest set of a key links with most, if sets are alike but for shingles of their own; the other is another one in each turn.
-        mark = F.xxhash64("s", F.lit(turn))
-        near = _with_pivots(keys, F.min_by(pivot, F.struct("n", mark)), F.min_by(pivot, mark))
-        more = stored(_linked(stored(near), sets))
-        seen.append(("pivots", turn, more.count()))
+        near = stored(_with_partners(rows, turn))
+        more = stored(_linked(near, sets))
+        seen.append(("partners", near.count(), more.count()))
         linked = more.select("a", "b") if linked is None else linked.unionByName(more.select("a", "b"))
         joined = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        # A pivot has met all of its key, and leaves it.
-        gone = keys.groupBy("key").agg(F.min_by("s", F.struct("n", mark)).alias("p0"), F.min_by("s", mark).alias("p1"))
-        left = keys.join(gone, "key").where((F.col("s") != F.col("p0")) & (F.col("s") != F.col("p1"))).select(*keys.columns)
-        keys = left.join(joined, left.c == joined.node, "left").withColumn("c", F.coalesce("root", "c")).select(*keys.columns)
-    mapped = stored(keys.join(prefixes.select("s", "shared", _bitmap(F.col("own")).alias("bits")), "s"))
+        keys = rows.join(joined, rows.c == joined.node, "left").withColumn("c", F.coalesce("root", "c")).select("key", "s", "n", "rest", "c")
+    mapped = stored(rows.join(prefixes.select("s", "shared", _bitmap(F.col("own")).alias("bits")), "s"))
     one, two = (mapped.select("key", *(F.col(x).alias(f"{x}{i}") for x in ("s", "n", "c", "rest", "shared", "bits"))) for i in (1, 2))
     most = F.least("rest1", F.col("shared1") - _lacking("bits1", "bits2")), F.least("rest2", F.col("shared2") - _lacking("bits2", "bits1"))
     apart = (F.col("s1") < F.col("s2")) & (F.col("c1") != F.col("c2")) & _may_link(F.col("n1"), F.col("rest1"), F.col("n2"), F.col("rest2")) & _may_link(F.col("n1"), most[0], F.col("n2"), most[1])
