@@ -54,13 +54,21 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def _for(value: Column, make: Callable[[Column], Column]) -> Column:
+    """`make` of a value that it uses many times, and that is worked out once."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def leading_date(text: Column) -> Column:
     """struct(iso, rest) of a date at the start of a title, even if glued to it; null without one."""
+
+    def read(x: Column) -> Column:
+        rest = _stripped(F.regexp_replace(F.substr(x.title, F.length(x.phrase) + 1), "^" + _SEPARATORS, ""))
+        return F.struct(F.when(x.phrase != "", _phrase_date(x.phrase)).alias("iso"), rest.alias("rest"))
+
     t = _stripped(text)
-    phrase = F.regexp_extract(t, f"^(?:{_AT_START})", 0)
-    rest = _stripped(F.regexp_replace(F.substr(t, F.length(phrase) + 1), "^" + _SEPARATORS, ""))
-    iso = F.when(phrase != "", _phrase_date(phrase))
-    return F.when(iso.isNotNull(), F.struct(iso.alias("iso"), rest.alias("rest")))
+    found = _for(F.struct(t.alias("title"), F.regexp_extract(t, f"^(?:{_AT_START})", 0).alias("phrase")), read)
+    return _for(found, lambda d: F.when(d.iso.isNotNull(), d))
 
 
 def trailing_date(text: Column) -> Column:
@@ -69,16 +77,20 @@ def trailing_date(text: Column) -> Column:
     The phrase is cut off only where it looks appended: glued to the end, or before read-time marks. Where a lone
     number of up to three digits would be left at the end, it may belong to the date, and the title stays whole.
     """
+
+    def read(x: Column) -> Column:
+        after = F.call_function("substring_index", x.title, x.phrase, F.lit(-1))
+        before = F.left(x.title, F.length(x.title) - F.length(after) - F.length(x.phrase))
+        glued = (after == "") & before.rlike(r"(?U)\S$")
+        title = _stripped(F.regexp_replace(before, _SEPARATORS + "$", ""))
+        unclear = (title == "") | title.rlike(r"(^|[\s\-–—:·|,])[0-9]{1,3}$")
+        rest = F.when((glued | after.rlike(r"(?i)^\s*(/|min read|[0-9]+\s*min)")) & ~unclear, title).otherwise(x.title)
+        return F.struct(_phrase_date(x.phrase).alias("iso"), rest.alias("rest"))
+
     t = _stripped(text)
-    phrase = F.try_element_at(F.regexp_extract_all(t, F.lit(f"({_AT_END})"), F.lit(1)), F.lit(-1))
-    after = F.call_function("substring_index", t, phrase, F.lit(-1))
-    before = F.left(t, F.length(t) - F.length(after) - F.length(phrase))
-    glued = (after == "") & before.rlike(r"(?U)\S$")
-    title = _stripped(F.regexp_replace(before, _SEPARATORS + "$", ""))
-    unclear = (title == "") | title.rlike(r"(^|[\s\-–—:·|,])[0-9]{1,3}$")
-    rest = F.when((glued | after.rlike(r"(?i)^\s*(/|min read|[0-9]+\s*min)")) & ~unclear, title).otherwise(t)
-    iso = _phrase_date(phrase)
-    return F.when(iso.isNotNull(), F.struct(iso.alias("iso"), rest.alias("rest")))
+    last = F.try_element_at(F.regexp_extract_all(t, F.lit(f"({_AT_END})"), F.lit(1)), F.lit(-1))
+    found = _for(F.struct(t.alias("title"), last.alias("phrase")), read)
+    return _for(found, lambda d: F.when(d.iso.isNotNull(), d))
 
 
 def written_date(text: str) -> str | None:

@@ -82,7 +82,7 @@ def judge(
         "address",
         "outcome",
         "error",
-        ((F.col("outcome") == "failed") & text.is_bot_gate(F.col("html"))).alias("retry"),
+        ((F.col("outcome") == "failed") & F.coalesce(text.is_bot_gate(F.col("html")), F.lit(False))).alias("retry"),
         F.when(F.col("outcome").isin("new", "duplicate"), F.col("hash")).alias("hash"),
         F.col("own").alias("url"),
         F.coalesce(feeds.first_filled(F.col("f.metadata.title"), F.col("f.title")), F.lit("Untitled")).alias("title"),

@@ -23,18 +23,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rows(spark: SparkSession, schema: str, *values: tuple) -> DataFrame:
-    """A small table of given rows."""
-    return spark.createDataFrame(list(values), schema)
-
-
-def values_sql(names: str, *values: tuple) -> str:
-    """The same rows for SQL: `(SELECT * FROM (VALUES ...) AS t(names))`."""
-    def one(v: object) -> str:
-        if v is None:
-            return "NULL"
-        return str(v) if isinstance(v, int | float) and not isinstance(v, bool) else str(v).upper() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
-
-    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in values) + f") AS t({names}))"

@@ -56,19 +56,20 @@ def cascade_delete_counts(spark, sf_dir):
     return left[0].unionByName(left[1])
 
 
-@query("""SELECT DISTINCT l_suppkey AS section, l_orderkey AS hash FROM lineitem WHERE l_linenumber <= 4
-EXCEPT SELECT l_suppkey, l_orderkey FROM lineitem WHERE l_linenumber <= 1""")
+@query("""SELECT DISTINCT l_suppkey AS section, l_orderkey AS hash FROM lineitem
+EXCEPT SELECT l_suppkey, l_orderkey FROM lineitem WHERE l_returnflag = 'R'""")
 def membership_insert_ignore(spark, sf_dir):
     """Memberships to append: those of a batch that aren't there yet, each once."""
-    keyed = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("section"), F.col("l_orderkey").alias("hash"), "l_linenumber")
-    return items.insert_ignore(keyed.where("l_linenumber <= 4"), keyed.where("l_linenumber <= 1"), ["section", "hash"])
+    keyed = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("section"), F.col("l_orderkey").alias("hash"), "l_returnflag")
+    return items.insert_ignore(keyed, keyed.where("l_returnflag = 'R'"), ["section", "hash"])
 
 
-@query("""SELECT o_orderkey AS hash, CASE WHEN o_orderkey % 3 = 0 THEN 'known' ELSE 'new' END AS outcome FROM orders WHERE o_orderkey % 2 = 0""")
+@query("""SELECT o_orderkey AS hash, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 5) THEN 'known' ELSE 'new' END AS outcome FROM orders""")
 def known_new_split(spark, sf_dir):
     """A batch against the store: what is known only gets a membership, the rest is new."""
     orders = table(spark, sf_dir, "orders").select(F.lit("s").alias("site"), F.col("o_orderkey").alias("hash"))
-    known, new = items.split_known(orders.where("hash % 2 = 0"), orders.where("hash % 3 = 0"))
+    store = table(spark, sf_dir, "lineitem").where("l_linenumber = 5").select(F.lit("s").alias("site"), F.col("l_orderkey").alias("hash"))
+    known, new = items.split_known(orders, store)
     return known.select("hash", F.lit("known").alias("outcome")).unionByName(new.select("hash", F.lit("new").alias("outcome")))
 
 
@@ -102,7 +103,9 @@ def remove_section(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.lit("s").alias("site"), F.col("o_orderkey").alias("hash"))
     members = table(spark, sf_dir, "lineitem").select(F.lit("s").alias("site"), F.col("l_suppkey").cast("string").alias("section"), F.col("l_orderkey").alias("hash"))
     left, rest = items.remove_section(orders, members, "s", "3")
-    return left.agg(F.count("*").alias("items")).join(rest.agg(F.count("*").alias("memberships")))
+    # Two counts in one row: one aggregation over both, no join without a key.
+    both = left.select(F.lit("items").alias("kind")).unionByName(rest.select(F.lit("memberships").alias("kind")))
+    return both.agg(F.count_if(F.col("kind") == "items").alias("items"), F.count_if(F.col("kind") == "memberships").alias("memberships"))
 
 
 @query("""SELECT c_custkey AS site, coalesce(s.n, 0) AS n_sections, least(coalesce(i.n, 0), 100000) AS n_items FROM customer
