@@ -2,7 +2,8 @@
 
 Each stage takes the documents that the one before kept, as (spark, docs, sf_dir), and its result is written as
 Parquet and read again for the next. All stages but the last return the columns of `documents`, n_chars being
-the length of the text as it is then.
+the length of the text as it is then; any further columns of `docs`, whatever their names, are left out. An empty
+table gives an empty table in each stage. Texts of any length are taken whole; the operators say what memory they need.
 """
 
 from __future__ import annotations
@@ -27,13 +28,21 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more."""
+    """Documents that score 0.5 or more, ties included.
+
+    A null or empty text is scored as one empty line, and stays a null or empty text if it is kept. Rows that repeat
+    score alike, so all or none of them stay. Without any label all stay.
+    """
     model = train(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
     return score(docs.select(*COLUMNS), model).where("score >= 0.5").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document (or line) has; one that has no text left by that goes."""
+    """Documents without lines that an earlier document (or line) has; one that has no text left by that goes.
+
+    A null text comes back empty, and empty texts stay, since they lose nothing. A null doc_id is the latest. Rows that
+    repeat doc_id and text lose the same lines, but none by each other; near_copies leaves one of them.
+    """
     out = drop_lines(docs.select(*COLUMNS))
     return _counted(out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
@@ -41,7 +50,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies: of the smallest doc_id (null is the largest), and there of the smallest hash of the text.
 
-    Rows that repeat doc_id and text are one. Rows of one doc_id with other texts are documents of their own.
+    Rows that repeat doc_id and text are one, the one of the least other columns. Rows of one doc_id with other texts are
+    documents of their own. Null and empty texts link with nothing, so each doc_id keeps one of either.
     """
     # A long's bits with the sign turned, in hexadecimal, sort as the long does.
     id_ = F.coalesce(F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0"), F.lit("null"))
@@ -52,12 +62,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal data and secrets."""
+    """All documents, with pseudonyms for personal data and secrets. A null text stays null; repeated rows are changed alike."""
     return _counted(pseudonymise(docs.select(*COLUMNS)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 4096 tokens."""
+    """The pieces of all documents and their places in sequences of 4096 tokens.
+
+    A null or empty text is a piece of one token, the end. Repeated rows, and rows without a doc_id, each have their pieces.
+    """
     out = pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
