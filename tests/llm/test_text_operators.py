@@ -303,6 +303,20 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 101), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 0), 101: 100, 105: 100}
+    rng = random.Random(3)
+    star = [(50_000, i) for i in range(2000)] + [(rng.randrange(3000, 9000), rng.randrange(3000, 9000)) for _ in range(3000)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in star:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
 
 
 # Operator 8
