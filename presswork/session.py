@@ -42,7 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="presswork-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/presswork/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/presswork/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables between jobs of this application. Results that haven't been written yet may still need them."""
+    jvm, folder = spark.sparkContext._jvm, shared_dir(spark).rsplit("/", 1)[0]
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:

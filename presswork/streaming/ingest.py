@@ -20,6 +20,13 @@ from presswork.session import stored
 from presswork.sources.feeds import PAGES
 
 REPROFILED = "reprofiled_at"
+#: Tables that grow with what is stored are partitioned by a bucket of the site, so that a batch or a feed reads its sites' part.
+BY_SITE = {"items", "item_sections"}
+BUCKETS = 64
+
+
+def bucket_of(site: Column) -> Column:
+    return F.pmod(F.xxhash64(site), F.lit(BUCKETS)).cast("int")
 
 
 def parsed_articles(pages: DataFrame, site: Column, first_seen: Column, paywall: list[str] | None = None, ad_markers: list[str] | None = None) -> DataFrame:
@@ -52,22 +59,32 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def read(self, name: str, schema: str | None = None) -> DataFrame:
-        """A table; one that was never written is empty. Any other trouble with it is an error."""
+    def read(self, name: str, schema: str | None = None, buckets: Column | list[int] | None = None) -> DataFrame:
+        """A table; one that was never written, or has no files any more, is empty. Any other trouble is an error. `buckets`: which of them are wanted."""
         schema = schema or TABLES[name]
         try:
-            return conform(self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{name}"), schema)
+            own = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{name}")
         except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             return self.spark.createDataFrame([], schema)
+        if buckets is not None and "bucket" in own.columns:
+            own = own.where(F.col("bucket").isin(buckets) if isinstance(buckets, list) else F.col("bucket") == buckets)
+        return conform(own, schema)
+
+    def _write(self, name: str, rows: DataFrame, mode: str) -> None:
+        if name in BY_SITE:
+            dealt = rows.withColumn("bucket", bucket_of(F.col("site"))).repartition("bucket")
+            dealt.write.mode(mode).partitionBy("bucket").parquet(f"{self.root}/{name}")
+        else:
+            rows.write.mode(mode).parquet(f"{self.root}/{name}")
 
     def append(self, name: str, rows: DataFrame) -> None:
-        conform(rows, TABLES[name]).write.mode("append").parquet(f"{self.root}/{name}")
+        self._write(name, conform(rows, TABLES[name]), "append")
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """The table's new rows, which may come from its old ones. Nobody else may write meanwhile."""
-        stored(conform(rows, TABLES[name])).write.mode("overwrite").parquet(f"{self.root}/{name}")
+        self._write(name, stored(conform(rows, TABLES[name])), "overwrite")
 
     # Sites, sections and key values
 
@@ -125,16 +142,18 @@ class Store:
     def ingest(self, pages: DataFrame, site: Column, section: Column, first_seen: Column, run: str, **options) -> None:
         """One batch: known pages and listings go before they are parsed, the rest is parsed once; items, memberships, failures and the run row are added."""
         staged = f"{self.root}/_staged/{run}"
+        # At most BUCKETS numbers.
+        buckets = [r.b for r in pages.select(bucket_of(site).alias("b")).distinct().collect() if r.b is not None]
         if self.read("decided").where(F.col("run") == run).isEmpty():
             seen = pages.withColumn("site", site).withColumn("section", section).withColumn("first_seen", first_seen)
-            known = batches.known_keys(self.read("items", "site string, url string, hash string"))
+            known = batches.known_keys(self.read("items", "site string, url string, hash string", buckets))
             judged = batches.judge(seen, known, self.read("sections"), self.read("sites"), **options)
             judged.withColumn("started_at", F.current_timestamp()).write.mode("overwrite").parquet(staged)
             self.append("decided", self.spark.createDataFrame([(run,)], DECIDED))
         batch = self.spark.read.parquet(staged)
         # Each table takes what it doesn't have yet; the run row comes last, and says that all of it is there.
-        self.append("items", items.insert_once(batches.new_items(batch), self.read("items", "site string, hash string"), ["site", "hash"], "first_seen", "url"))
-        self.append("item_sections", items.insert_ignore(batches.memberships(batch), self.read("item_sections"), ["site", "section", "hash"]))
+        self.append("items", items.insert_once(batches.new_items(batch), self.read("items", "site string, hash string", buckets), ["site", "hash"], "first_seen", "url"))
+        self.append("item_sections", items.insert_ignore(batches.memberships(batch), self.read("item_sections", buckets=buckets), ["site", "section", "hash"]))
         own = self.read("failures").where(F.col("run") == run).select("site", "page_id")
         self.append("failures", batches.failures(batch).join(own, ["site", "page_id"], "left_anti").withColumn("run", F.lit(run)))
         idle = self.read("sites").join(self.read("sections"), "site", "left_anti")
@@ -176,9 +195,10 @@ class Store:
     # Reading
 
     def feed(self, site: str, section: str | None = None, limit: int = 10) -> DataFrame:
-        own = self.read("items").where(F.col("site") == site)
+        bucket = bucket_of(F.lit(site))
+        own = self.read("items", buckets=bucket).where(F.col("site") == site)
         if section:
-            own = items.section_items(own, self.read("item_sections").where((F.col("site") == site) & (F.col("section") == section)), ["site", "hash"])
+            own = items.section_items(own, self.read("item_sections", buckets=bucket).where((F.col("site") == site) & (F.col("section") == section)), ["site", "hash"])
         return feeds.top_items(own, limit)
 
     def index(self, site: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The store: ingest happens once, in a batch or in a stream; deletes; reprofiling; reprocessing."""
 
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -7,8 +8,9 @@ from pyspark.sql import functions as F
 from presswork.functions import html, urls
 from presswork.operators import discover, items, quality
 from presswork.schemas import ITEM_SECTIONS, ITEMS, conform
+from presswork.session import clear, stored
 from presswork.sources import feeds as sources
-from presswork.streaming.ingest import Store, stream
+from presswork.streaming.ingest import Store, bucket_of, stream
 
 BODY = "Words of an article that is long enough to be good. " * 6
 
@@ -99,6 +101,26 @@ def test_a_damaged_store_is_no_empty_store(spark, tmp_path):
         Store(spark, str(tmp_path / "store")).read("items").count()
 
 
+def test_a_feed_reads_its_own_bucket(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    pages = [(i, f"https://s{i}.com/a/x", page(i, "")[2]) for i in range(40)]
+    store.ingest(spark.createDataFrame(pages, sources.PAGES), site(), section(), seen(), "r")
+    assert {r.site for r in store.feed("s7.com", "news").collect()} == {"s7.com"} and store.read("items").count() == 40
+    plan = store.feed("s7.com")._jdf.queryExecution().executedPlan().toString()
+    number = spark.range(1).select(bucket_of(F.lit("s7.com"))).first()[0]
+    # The site's bucket is a constant by the time files are listed.
+    assert re.search(rf"PartitionFilters: \[[^\]]*bucket#\d+ = {number}\)", plan), plan
+
+
+def test_tables_between_jobs_are_cleared(spark):
+    kept = stored(spark.range(3))
+    assert kept.count() == 3 and kept.inputFiles()
+    clear(spark)
+    import os
+
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in kept.inputFiles())
+
+
 def test_values_and_removal(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     for value in ("1", "2"):
