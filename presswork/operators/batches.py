@@ -137,7 +137,7 @@ def run_rows(batch: DataFrame, idle: DataFrame | None = None) -> DataFrame:
     counts = counts.withColumn("status", quality.run_status(F.lit(False), F.lit(1), F.col("failed")))
     if idle is not None:
         none = idle.select("site").distinct().join(batch.select("site").distinct(), "site", "left_anti")
-        why = F.lit("no sections registered")
+        why = F.lit("the site has no section")
         zeros = [F.lit(0).cast("long").alias(c) for c in counts.columns if c not in ("site", "error", "log_excerpt", "status")]
         counts = counts.unionByName(none.select("site", *zeros, why.alias("error"), why.alias("log_excerpt"), F.lit("error").alias("status")))
     return counts

@@ -51,7 +51,7 @@ def test_ingest_once(spark, tmp_path):
     run = store.runs("ex.com").collect()[0]
     assert (run.discovered, run.new_items, run.failed, run.paywalled, run.skipped, run.status, tuple(run.quality)) == (9, 3, 3, 1, 1, "partial", (3, 3, 0))
     assert run.error == "parse https://ex.com/n: the page is empty" and len(run.log_excerpt.split("\n")) == 3 and run.started_at <= run.finished_at
-    assert [(r.status, r.error) for r in store.runs("idle.com").collect()] == [("error", "no sections registered")]
+    assert [(r.status, r.error) for r in store.runs("idle.com").collect()] == [("error", "the site has no section")]
     assert [(r.url, r.retry) for r in store.to_retry().collect()] == [("https://ex.com/g", True)]
     # Known addresses, in either spelling, aren't parsed again; a page of another address whose canonical one is known gets a membership only.
     twin = [page(1, "/a/x/"), (2, "https://ex.com/q", page(2, "")[2].replace("<head>", '<head><link rel="canonical" href="/a/y/">').replace('"/a/y/"', '"https://ex.com/a/y/"'))]
