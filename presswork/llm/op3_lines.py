@@ -43,8 +43,8 @@ LAST = (1 << 63) - 1
 
 #: An edit in fewer characters than this is no copy.
 LEAST = 16
-#: Rows that a task gives on at once.
-ROWS = 200_000
+#: Rows that a task gives on at once, and bytes of lines that it has in hand.
+ROWS, BYTES = 50_000, 1 << 18
 
 
 def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +144,7 @@ def _around(least: int):
         """(l1, longer, part, k1, k2) of lines (l1, line)."""
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for first, last in slices(offsets):
+            for first, last in slices(offsets, BYTES):
                 values, at = characters(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 for rows, longer, j, keys in surroundings(values, at):
                     # The shorter of two lines has to have `least` characters.
@@ -165,7 +165,7 @@ def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column(6)
         spots = np.asarray(lists.offsets)
         longer, part = (lists.values.field(i).to_numpy().astype(np.int64) for i in range(2))
-        for first, last in slices(offsets):
+        for first, last in slices(offsets, BYTES):
             values, at = characters(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
             row = np.repeat(np.arange(last - first), np.diff(spots[first : last + 1]))
             own = slice(spots[first], spots[last])
