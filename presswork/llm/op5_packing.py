@@ -17,7 +17,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,14 +96,6 @@ def _pack_group(length: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every row with a number that no other row has."""
-    seen = TaskContext.get().partitionId() << 40
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(seen, seen + batch.num_rows, dtype=np.int64))], names=[*batch.schema.names, "number"])
-        seen += batch.num_rows
-
-
 def pack(pieces: DataFrame, length: int = 4096, group_pieces: int = GROUP_PIECES, id_column: str = "doc_id") -> DataFrame:
     """Gives each piece (id, start, length and any other columns) a sequence_id and its offset there.
 
@@ -112,7 +103,7 @@ def pack(pieces: DataFrame, length: int = 4096, group_pieces: int = GROUP_PIECES
     """
     named = pieces.withColumnRenamed(id_column, "id")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema)
-    staged = stored(named.mapInArrow(_numbered, kinds + ", number long"))
+    staged = stored(named.withColumn("number", F.monotonically_increasing_id()))
     groups = max(1, -(-staged.count() // group_pieces))
     salted = staged.withColumn("group_no", F.pmod(F.xxhash64("number", F.lit(20240607)), F.lit(groups)).cast("long"))
     return salted.groupBy("group_no").applyInArrow(_pack_group(length), kinds + ", sequence_id long, offset long").withColumnRenamed("id", id_column)
