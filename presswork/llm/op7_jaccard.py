@@ -48,8 +48,9 @@ from presswork.llm.textarrays import lower_ascii, mix, ragged, run_hashes, slice
 WORDS = 5
 #: Of the hash space, what is counted in step 2. Over 0.2, or nothing would be left out.
 COUNTED = 0.3
-#: Pairs for each row of open keys, up to which the pairs are compared one by one.
-FEW = 4
+#: Pairs for each row of open keys, up to which the pairs are tested one by one: at once, and after a turn. A turn compares
+#: whole sets, a test only bitmaps, so turns begin where there are many pairs.
+MANY, FEW = 64, 4
 #: Others that a set of an open key is compared with in a turn, out of a group of so many.
 PARTNERS, GROUP = 4, 64
 
@@ -272,7 +273,7 @@ def links(sets: DataFrame, seen: list[tuple[str, int, int]] | None = None) -> Da
         seen.append(("open", n, pairs))
         if not pairs:
             return roots if linked is None else components(found.unionByName(linked))
-        if pairs <= FEW * n or before is not None and pairs > before * 3 / 4:
+        if pairs <= (MANY if before is None else FEW) * n or before is not None and pairs > before * 3 / 4:
             break
         before = pairs
         near = stored(_with_partners(rows, turn))
