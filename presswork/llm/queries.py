@@ -13,6 +13,7 @@ from presswork.llm.op7_jaccard import op7_jaccard
 from presswork.llm.op8_substring import op8_substring
 from presswork.llm.op9_pii import op9_pii
 from presswork.llm.op10_bpe import op10_bpe
+from presswork.llm.op12_merkle import op12_merkle
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_training_order, op3_lines, op4_topk, op5_packing, op6_quality, op7_jaccard, op8_substring, op9_pii, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_training_order, op3_lines, op4_topk, op5_packing, op6_quality, op7_jaccard, op8_substring, op9_pii, op10_bpe, op12_merkle)}
 SQL: dict[str, str] = {"op4_topk": _op4.SQL}
