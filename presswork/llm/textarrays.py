@@ -152,3 +152,51 @@ def any_span_hashes(data: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, len(data))[: len(data)], out=total[1:])
     back = _powers(pow(base, -1, _WRAP), len(data))
     return [mix((total[e] - total[s]) * back[s] + (e - s).astype(np.uint64)) for s, e in spans]
+
+
+#: The five primes of XXH64, fixed values.
+XXH_PRIMES = tuple(np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """The XXH64 of each data[start:end]; spans may overlap. All spans go on together, each as far as it has bytes."""
+    p1, p2, p3, p4, p5 = XXH_PRIMES
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    four = np.ndarray((len(data) + 5,), dtype="<u4", buffer=padded, strides=(1,))
+    size, at = ends - starts, starts.copy()
+    mixed = lambda x: _turn(x * p2, 31) * p1
+    with np.errstate(over="ignore"):
+        base = np.uint64(seed)
+        out = np.full(len(starts), base + p5, dtype=np.uint64)
+        rows = np.flatnonzero(size >= 32)
+        if len(rows):
+            lanes = [np.full(len(rows), v, dtype=np.uint64) for v in (base + p1 + p2, base + p2, base, base - p1)]
+            going = np.arange(len(rows))
+            while len(going):
+                own = rows[going]
+                for i, lane in enumerate(lanes):
+                    lane[going] = _turn(lane[going] + eight[at[own] + 8 * i] * p2, 31) * p1
+                at[own] += 32
+                going = going[ends[own] - at[own] >= 32]
+            total = _turn(lanes[0], 1) + _turn(lanes[1], 7) + _turn(lanes[2], 12) + _turn(lanes[3], 18)
+            for lane in lanes:
+                total = (total ^ mixed(lane)) * p1 + p4
+            out[rows] = total
+        out += size.astype(np.uint64)
+        while len(rows := np.flatnonzero(ends - at >= 8)):
+            out[rows] = _turn(out[rows] ^ mixed(eight[at[rows]]), 27) * p1 + p4
+            at[rows] += 8
+        if len(rows := np.flatnonzero(ends - at >= 4)):
+            out[rows] = _turn(out[rows] ^ (four[at[rows]].astype(np.uint64) * p1), 23) * p2 + p3
+            at[rows] += 4
+        while len(rows := np.flatnonzero(ends - at >= 1)):
+            out[rows] = _turn(out[rows] ^ (padded[at[rows]].astype(np.uint64) * p5), 11) * p1
+            at[rows] += 1
+        out = (out ^ (out >> np.uint64(33))) * p2
+        out = (out ^ (out >> np.uint64(29))) * p3
+        return out ^ (out >> np.uint64(32))
