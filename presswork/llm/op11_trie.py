@@ -337,7 +337,8 @@ def _ends(out: list[tuple]) -> pa.RecordBatch:
 
 def prefix_trie(rows: DataFrame, convs: DataFrame) -> DataFrame:
     """All nodes, of (c, depth, chars, q1, q2, p1, p2) of turns and (c, length) of all conversations."""
-    several = rows.groupBy("p1", "p2").agg(F.count("*").alias("n")).where("n > 1").select("p1", "p2")
+    # Written, so that a common prefix's rows can be dealt to several tasks when they meet it.
+    several = stored(rows.groupBy("p1", "p2").agg(F.count("*").alias("n")).where("n > 1").select("p1", "p2"))
     common = rows.join(several, ["p1", "p2"], "left_semi")
     path = F.sort_array(F.collect_list(F.struct("depth", "q1", "q2", "chars"))).alias("path")
     shared = common.groupBy("c").agg(F.max("depth").alias("s"), F.max_by(F.struct("p1", "p2"), "depth").alias("end"), path)
