@@ -188,9 +188,17 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(3)], names=["id", "no", "h"])
 
 
+def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows again in batches of about a megabyte of text, so that what is made of them stays small whatever comes in one batch."""
+    for batch in batches:
+        _, offsets = utf8(batch.column(column))
+        for first, last in slices(offsets):
+            yield batch.slice(first, last - first)
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, h, no, two hashes of the line, four hashes of halves) of every line that isn't blank."""
-    for batch in batches:
+    for batch in _parts(batches, "text"):
         data, offsets = utf8(batch.column(2))
         breaks = np.flatnonzero(data == 10)
         row_of_break = np.searchsorted(offsets, breaks, side="right") - 1
@@ -206,7 +214,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = high > low
         begin, end, rows, number = words[low[full]], stops[high[full] - 1], rows[full], number[full]
         bounds = np.append(begin, end[-1:] if len(end) else 0)
-        for a, b in slices(bounds):
+        for a, b in slices(bounds, BYTES):
             base = int(begin[a])
             part, s, e = data[base : int(end[b - 1])], begin[a:b] - base, end[a:b] - base
             # Halves are of characters: where each begins, and the first one of each line.
@@ -230,12 +238,12 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines that `picks` names, with their hashes."""
-    for batch in batches:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+    for batch in _parts(batches, "text"):
         out: list[tuple] = []
         for id_, h, text, picks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             split = text.split("\n")
             out += [(p["l1"], p["l2"], id_, p["no"], h, split[p["no"]].strip(" \t\n\v\f\r")) for p in picks]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["l1", "l2", "id", "no", "h", "line"])
 
@@ -280,17 +288,20 @@ def earlier_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches, "text"):
         out, lines, gone = [], [], []
         for text, drops in zip(batch.column("text").to_pylist(), batch.column("drops").to_pylist(), strict=True):
-            split = [] if text is None else text.split("\n")
-            drop = set(drops or ())
+            if not drops:
+                out.append(text or "")
+                lines.append(0 if text is None else text.count("\n") + 1)
+                gone.append(0)
+                continue
+            split, drop = text.split("\n"), set(drops)
             out.append("\n".join(x for i, x in enumerate(split) if i not in drop))
             lines.append(len(split))
             gone.append(len(drop))
-        columns = [batch.column(n) for n in batch.schema.names if n not in ("text", "drops")]
         names = [n for n in batch.schema.names if n not in ("text", "drops")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.string()), pa.array(np.array(lines, dtype=np.int64)), pa.array(np.array(gone, dtype=np.int64))], names=[*names, "text", "n_lines", "n_removed"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.string()), pa.array(np.array(lines, dtype=np.int64)), pa.array(np.array(gone, dtype=np.int64))], names=[*names, "text", "n_lines", "n_removed"])
 
 
 def drop_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bound: int = 1, least: int = LEAST) -> DataFrame:
