@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
@@ -26,17 +27,29 @@ SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td",
 NO_TEXT = {"script", "style", "noscript", "svg", "form", "button", "nav", "footer", "aside", "header"}
 UNSAFE = {"script", "style", "iframe", "object", "embed", "form", "input", "button", "noscript", "link", "meta", "svg", "video", "audio"}
 BLOCKS = {"div", "section", "article", "aside", "figure", "blockquote", "ul", "ol", "table", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "span", "a"}
+FRAME = ("html", "head", "body")
 ARTICLE_TYPES = {"NewsArticle", "Article", "BlogPosting"}
 AD_LENGTH = 600
 
 
 class Node:
-    """An element with its children, which are elements, strings, or comments as (text,)."""
+    """An element with its children, which are elements, strings, or comments as (text,).
 
-    __slots__ = ("tag", "attrs", "children", "parent")
+    A child that is removed only loses its parent. Lists of children leave such ones out when they are next read, so that taking many
+    siblings away takes one pass.
+    """
+
+    __slots__ = ("tag", "attrs", "_children", "_lost", "parent")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        self.tag, self.attrs, self._children, self._lost, self.parent = tag, attrs, [], False, parent
+
+    @property
+    def children(self) -> list:
+        if self._lost:
+            self._children = [c for c in self._children if not isinstance(c, Node) or c.parent is self]
+            self._lost = False
+        return self._children
 
     def walk(self) -> Iterator[Node]:
         """All elements below, in document order; those taken out meanwhile aren't entered."""
@@ -65,7 +78,7 @@ class Node:
 
     def remove(self) -> None:
         if self.parent is not None:
-            self.parent.children.remove(self)
+            self.parent._lost = True
             self.parent = None
 
     def html(self) -> str:
@@ -95,6 +108,7 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {})
+        self.open: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in SELF_CLOSING:
@@ -102,23 +116,33 @@ class _Builder(HTMLParser):
             while node is not None and node.tag not in SELF_CLOSING[tag]:
                 node = node.parent if node.tag not in BLOCKS - {"p", "span", "a"} else None
             if node is not None and node.parent is not None:
-                self.at = node.parent
+                self._close(node)
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.at = self.at.parent or self.root
+            self._close(self.at)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
+        # Without one that is open, the way up to the root would be for nothing.
+        if self.open[tag]:
+            node = self.at
+            while node.tag != tag:
+                node = node.parent
+            self._close(node)
+
+    def _close(self, node: Node) -> None:
+        """Ends `node` and all that is open in it."""
+        while self.at is not node:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+        self.open[node.tag] -= 1
+        self.at = node.parent
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
@@ -268,14 +292,13 @@ def sanitize(html: str) -> str:
             node.attrs.pop("href")
         if node.tag == "img" and "src" in node.attrs and not re.match(r"(?i)https?://", node.attrs["src"].strip()):
             node.attrs.pop("src")
-    for node in list(root.walk()):
-        if node.tag in ("html", "head", "body") and node.parent is not None:
-            at = node.parent.children.index(node)
-            for child in node.children:
+    # From the leaves up, so that a frame within a frame is one list by then.
+    for node in reversed([root, *root.walk()]):
+        if any(isinstance(c, Node) and c.tag in FRAME for c in node.children):
+            node._children = [x for c in node.children for x in (c.children if isinstance(c, Node) and c.tag in FRAME else [c])]
+            for child in node._children:
                 if isinstance(child, Node):
-                    child.parent = node.parent
-            node.parent.children[at : at + 1] = node.children
-            node.parent = None
+                    child.parent = node
     return root.html()
 
 

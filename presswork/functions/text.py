@@ -94,6 +94,15 @@ def status_of(message: Column) -> Column:
     return F.when(arrow != "", arrow).otherwise(F.try_element_at(F.regexp_extract_all(message, F.lit(r"\b([45][0-9][0-9])\b"), 1), F.lit(-1)))
 
 
+#: How long texts are where they are shown, by what they are for; fixed values.
+CUTS = {"label": 40, "link": 90, "title": 200, "excerpt": 2000, "snapshot": 6000, "prompt": 40_000}
+
+
+def cut(text: Column, kind: str) -> Column:
+    """The text as far as its kind is shown."""
+    return F.left(text, F.lit(CUTS[kind]))
+
+
 def delay_band(site_low: Column, site_high: Column, low: Column, high: Column) -> Column:
     """Milliseconds (lower, upper) to wait: the site's over the default, 0 unless positive, in order."""
     ms = lambda x: F.when(x > 0, F.round(x * 1000)).otherwise(0).cast("long")

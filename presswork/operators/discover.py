@@ -89,32 +89,81 @@ def follow_links(links: DataFrame, most: int = 6) -> DataFrame:
         & (urls.is_listing_like(url) | (shallow & F.lower(F.col("title")).rlike(FOLLOW_TEXT)))
         & (urls.normalize_url(url) != urls.normalize_url(index))
     )
-    unique = kept.groupBy("page_id", urls.normalize_url(url).alias("url")).agg(F.min("ord").alias("ord"), F.min_by(F.left("title", F.lit(40)), "ord").alias("label"))
+    unique = kept.groupBy("page_id", urls.normalize_url(url).alias("url")).agg(F.min("ord").alias("ord"), F.min_by(text.cut(F.col("title"), "label"), "ord").alias("label"))
     order = Window.partitionBy("page_id").orderBy("ord")
     return unique.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("page_id", "url", "label", "ord")
 
 
-def frontier(edges: DataFrame, seeds: DataFrame, depth: int = 8, most: int = 40) -> DataFrame:
+def frontier(edges: DataFrame, seeds: DataFrame, depth: int = 8, most: int = 40, seen_levels: list[int] | None = None) -> DataFrame:
     """(site, url, level) of pages reached over edges (site, src, dst) from seeds (site, url), by levels; at most `most` of each site, nearest first.
 
-    One join a level. Edges and levels are written, so that no level redoes the ones before it; nothing comes to the
-    driver but whether a level is empty.
+    One join a level. A site that has its pages leaves the levels, as all later pages are farther. Edges and levels are written, so that no
+    level redoes the ones before it; nothing comes to the driver but how many rows a level has (`seen_levels` takes them).
     """
     edges = stored(edges.select("site", "src", "dst").distinct())
     level = seen = stored(seeds.select("site", "url", F.lit(0).alias("level")).distinct())
+    counts = level.groupBy("site").agg(F.count("*").alias("n"))
     for n in range(1, depth + 1):
-        step = level.join(edges, (level.site == edges.site) & (level.url == edges.src)).select(level.site, F.col("dst").alias("url")).distinct()
+        going = level.join(counts.where(F.col("n") < most), "site", "left_semi")
+        step = going.join(edges, (going.site == edges.site) & (going.url == edges.src)).select(going.site, F.col("dst").alias("url")).distinct()
         level = stored(step.join(seen, ["site", "url"], "left_anti").withColumn("level", F.lit(n)))
-        if level.isEmpty():
+        rows = level.count()
+        if seen_levels is not None:
+            seen_levels.append(rows)
+        if not rows:
             break
         seen = seen.unionByName(level)
+        counts = stored(counts.unionByName(level.groupBy("site").agg(F.count("*").alias("n"))).groupBy("site").agg(F.sum("n").alias("n")))
     order = Window.partitionBy("site").orderBy("level", "url")
     return seen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
 
+def crawl(links: DataFrame, found: DataFrame, seeds: DataFrame, most: int = 100, pages: int = 40, follow: int = 3, to_the_end: bool = False, read: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(site, url, place, level) of the listings that a crawl reads, and (site, candidate, place, ord) of the candidates that it merges, each at its first sighting.
+
+    links (site, src, ord, dst): what a listing leads on to (see `follow_links`: of page numbers only the next one). found (site, url, ord,
+    candidate). seeds (site, url): one a site. Listings are read in the order in which they are come across, that is by levels, within a
+    level by the listing that leads to them and by its order. A site stops when it has `most` candidates or `pages` listings. Only the
+    first `follow` listings after the seed lead on, or all of them `to_the_end`.
+
+    A level of all sites is one step; sites that have stopped aren't in it. A site has `pages` listings in hand at most. `read` takes
+    the number of listings of each level.
+    """
+    links = stored(links.select("site", "src", "ord", "dst").where("dst IS NOT NULL"))
+    level = stored(seeds.groupBy("site").agg(F.min("url").alias("url")).select("site", "url", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("total")))
+    queued = level.select("site", "url")
+    visited, merged, number = None, None, 0
+    while True:
+        sightings = level.join(found, ["site", "url"]).where("candidate IS NOT NULL")
+        fresh = sightings if merged is None else sightings.join(merged, ["site", "candidate"], "left_anti")
+        first = stored(fresh.groupBy("site", "candidate").agg(F.min(F.struct("place", "ord")).alias("at")).select("site", "candidate", "at.place", "at.ord"))
+        gains = first.groupBy("site", "place").agg(F.count("*").alias("gain"))
+        before = Window.partitionBy("site").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        counted = level.join(gains, ["site", "place"], "left").withColumn("had", F.col("total") + F.coalesce(F.sum("gain").over(before), F.lit(0)))
+        own = stored(counted.where((F.col("had") < most) & (F.col("place") < pages)).select("site", "url", "place", (F.col("had") + F.coalesce("gain", F.lit(0))).alias("has")))
+        if read is not None:
+            read.append(own.count())
+        step = own.select("site", "url", "place", F.lit(number).alias("level"))
+        visited = step if visited is None else visited.unionByName(step)
+        taken = first.join(own.select("site", "place"), ["site", "place"], "left_semi").select("site", "candidate", "place", "ord")
+        merged = taken if merged is None else merged.unionByName(taken)
+        state = own.groupBy("site").agg(F.max("has").alias("total"))
+        leading = own if to_the_end else own.where(F.col("place") <= follow)
+        reached = leading.join(links, (leading.site == links.site) & (leading.url == links.src)).groupBy(leading.site, F.col("dst").alias("url")).agg(F.min(F.struct("place", "ord")).alias("by"))
+        new = reached.join(queued, ["site", "url"], "left_anti")
+        known = queued.groupBy("site").agg(F.count("*").alias("known"))
+        order = Window.partitionBy("site").orderBy("by", "url")
+        placed = new.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= pages).join(known, "site").join(state.where(F.col("total") < most), "site")
+        level = stored(placed.select("site", "url", (F.col("known") + F.col("nth") - 1).alias("place"), "total"))
+        if level.isEmpty():
+            return visited, merged
+        queued = stored(queued.unionByName(level.select("site", "url")))
+        number += 1
+
+
 def link_inventory(raw: DataFrame) -> DataFrame:
     """Every address of a page once, with the text it is first seen with (90 characters)."""
-    return raw.groupBy("page_id", "url").agg(F.min("ord").alias("ord"), F.min_by(F.left(F.coalesce("title", F.lit("")), F.lit(90)), "ord").alias("text"))
+    return raw.groupBy("page_id", "url").agg(F.min("ord").alias("ord"), F.min_by(text.cut(F.coalesce("title", F.lit("")), "link"), "ord").alias("text"))
 
 
 def listing_filter(pages: DataFrame, sections: DataFrame, path: Column) -> DataFrame:
