@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -160,20 +161,30 @@ def is_cron(expression: str) -> bool:
     return len(parts) == 5 and all(any(map(cron_field(p, a, b), range(a, b + 1))) for p, (a, b) in zip(parts, ranges, strict=True))
 
 
-def next_run(expression: str, after: datetime) -> datetime:
-    """The first minute after `after` that fits; an hour later if none does in five years. Days go by either field if both are set."""
-    minute, hour, dom, month, dow = (cron_field(p, *r) for p, r in zip((expression.split() + ["*"] * 5)[:5], [(0, 59), (0, 23), (1, 31), (1, 12), (0, 7)], strict=True))
+@lru_cache(1024)
+def _fitting(expression: str) -> tuple[list[int], list[int], Callable[[date], bool]]:
+    """(minutes, hours, whether a day fits) of a schedule."""
     fields = (expression.split() + ["*"] * 5)[:5]
+    minute, hour, dom, month, dow = (cron_field(p, *r) for p, r in zip(fields, [(0, 59), (0, 23), (1, 31), (1, 12), (0, 7)], strict=True))
     either = fields[2] != "*" and fields[4] != "*"
-    minutes, hours = [m for m in range(60) if minute(m)], [h for h in range(24) if hour(h)]
+
+    def fits(day: date) -> bool:
+        weekday = day.isoweekday() % 7
+        on_dom, on_dow = dom(day.day), dow(weekday) or (weekday == 0 and dow(7))
+        return month(day.month) and ((on_dom or on_dow) if either else (on_dom and on_dow))
+
+    return [m for m in range(60) if minute(m)], [h for h in range(24) if hour(h)], fits
+
+
+def next_run(expression: str, after: datetime) -> datetime:
+    """The first minute after `after` that fits; an hour later if none does in five years. Days go by either field if both are set."""
+    minutes, hours, fits = _fitting(expression)
     begin = after.replace(second=0, microsecond=0) + timedelta(minutes=1)
     for n in range(5 * 366 + 1):
         day = begin.date() + timedelta(days=n)
-        weekday = day.isoweekday() % 7
-        on_dom, on_dow = dom(day.day), dow(weekday) or (weekday == 0 and dow(7))
-        if not month(day.month) or not ((on_dom or on_dow) if either else (on_dom and on_dow)):
+        if not fits(day):
             continue
-        for h in hours:
+        for h in hours if n else [h for h in hours if h >= begin.hour]:
             for m in minutes:
                 at = datetime(day.year, day.month, day.day, h, m)
                 if at >= begin:

@@ -21,10 +21,14 @@ def site_config(text: Column) -> Column:
     return F.from_json(text, CONFIG, {"mode": "PERMISSIVE"})
 
 
-def profile_json(mode: Column, max_candidates: Column, follow: Column) -> Column:
-    """Only the settings that differ from the defaults, as JSON."""
-    other = lambda x, default: F.when(x != default, x)
-    return F.to_json(F.struct(mode.alias("mode"), other(max_candidates, MAX_CANDIDATES).alias("max"), other(follow, FOLLOW).alias("follow")))
+def knob(own: Column, default: object) -> Column:
+    """A setting over its default."""
+    return F.coalesce(own, F.lit(default))
+
+
+def profile_json(**knobs: tuple[Column, object]) -> Column:
+    """Only the settings that differ from their defaults, as JSON: name=(value, default). Any number of them."""
+    return F.to_json(F.struct(*(F.when(value != default, value).alias(name) for name, (value, default) in knobs.items())))
 
 
 def drop_key(text: Column, key: str) -> Column:

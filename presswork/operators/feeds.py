@@ -95,6 +95,23 @@ def site_status(sites: DataFrame, sections: DataFrame, items: DataFrame) -> Data
     return joined.select("site", F.coalesce("n_sections", F.lit(0)).alias("n_sections"), F.least(F.coalesce("n_items", F.lit(0)), F.lit(COUNT_CAP)).alias("n_items"))
 
 
+def grand_total(items: DataFrame) -> DataFrame:
+    """One row: items, and sites that have any."""
+    return items.groupBy("site").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"), F.count("*").alias("n_sites"))
+
+
+def section_counts(memberships: DataFrame, keys: list[str]) -> DataFrame:
+    """Items of each section (`keys`); a membership that repeats counts once."""
+    return memberships.select(*keys, "hash").distinct().groupBy(*keys).agg(F.count("*").alias("n_items"))
+
+
+def site_listing(sites: DataFrame, runs: DataFrame) -> DataFrame:
+    """Sites with when and how their last run ended. runs: site, id, finished_at, status, error."""
+    last = runs.where("finished_at IS NOT NULL").groupBy("site").agg(F.max_by(F.struct("finished_at", "status", "error"), F.struct("finished_at", "id")).alias("last"))
+    own = sites.drop("last_scrape_at", "last_scrape_status", "last_error").join(last, "site", "left")
+    return own.select("*", F.col("last.finished_at").alias("last_scrape_at"), F.col("last.status").alias("last_scrape_status"), F.col("last.error").alias("last_error")).drop("last")
+
+
 def status_json(status: DataFrame) -> DataFrame:
     return status.select("site", F.to_json(F.struct("site", "n_sections", "n_items")).alias("status"))
 

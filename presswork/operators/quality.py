@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WEAK = 0.6
@@ -33,8 +30,6 @@ def run_status(fatal: Column, sections: Column, failures: Column) -> Column:
 def error_excerpt(errors: DataFrame, keys: list[str], order: str, message: str) -> DataFrame:
     """The first error, and the first five by line, of each run."""
     # min_by keeps one row; the five come from an aggregation over rows ranked per run, not from all of a run's errors.
-    from pyspark.sql import Window
-
     ranked = errors.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("_n") <= EXCERPT_ERRORS)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("_n", message))), lambda x: x[message])
     return ranked.groupBy(*keys).agg(F.min_by(message, "_n").alias("error"), F.left(F.array_join(listed, "\n"), F.lit(EXCERPT_CHARS)).alias("log_excerpt"))
@@ -44,24 +39,6 @@ def quality_text(body: Column, date: Column, parsed: Column) -> Column:
     return F.format_string("body %d/%d, date %d/%d", body, parsed, date, parsed)
 
 
-def reprofile_times(runs: DataFrame, site: str = "site", at: str = "at", weak: str = "weak") -> DataFrame:
-    """Weak runs of each site that start a new profile: none within six hours after another that did.
-
-    A run that fires resets the clock, so each depends on the one before; sites are folded one by one. A site's weak
-    runs, of 8 bytes each, are in memory at once.
-    """
-    def fold(group: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        last, out = None, []
-        for moment in group[at].sort_values():
-            if last is None or moment - last > pd.Timedelta(hours=COOLDOWN_HOURS):
-                out.append(moment)
-                last = moment
-        return pd.DataFrame({site: [group[site].iloc[0]] * len(out), at: out})
-
-    kind = runs.schema[site].dataType.simpleString()
-    return runs.where(weak).select(site, at).groupBy(site).applyInPandas(fold, f"{site} {kind}, {at} timestamp")
-
-
 def reprofile_due(runs: DataFrame, sites: DataFrame, stamps: DataFrame, now: Column) -> DataFrame:
     """Sites to profile anew: generic ones of a weak run, if that hasn't been done in the last six hours.
 
@@ -98,5 +75,17 @@ def reprocess(items: DataFrame, fields: Column, refetch: bool = False) -> DataFr
     )
 
 
-def outcome_counts(outcomes: DataFrame) -> DataFrame:
-    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+def outcome_counts(outcomes: DataFrame, **also: Column) -> DataFrame:
+    """How many rows have each outcome, and of `also` in how many of them the condition holds."""
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"), *(F.count_if(condition).alias(name) for name, condition in also.items()))
+
+
+def run_counts(runs: DataFrame) -> DataFrame:
+    """(site, finished, unfinished): runs of each site that have ended, and that haven't."""
+    return runs.groupBy("site").agg(F.count("finished_at").alias("finished"), F.count_if(F.col("finished_at").isNull()).alias("unfinished"))
+
+
+def recent_runs(runs: DataFrame, last: int = 20, *order: Column) -> DataFrame:
+    """The last runs of every site with their `rank`, by when they ended unless another order is given."""
+    latest = Window.partitionBy("site").orderBy(*(order or (F.desc("finished_at"), F.desc("id"))))
+    return runs.withColumn("rank", F.row_number().over(latest)).where(F.col("rank") <= last)

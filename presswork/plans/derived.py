@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presswork.functions import dates, html, records, text, urls
-from presswork.operators import batches, discover, feeds, items
+from presswork.operators import batches, discover, feeds, items, quality
 from presswork.plans.registry import query, table
 from presswork.plans.web import NORM, pages
 from presswork.sources import feeds as sources
@@ -276,8 +276,7 @@ def route_names(spark, sf_dir):
 
 @query("SELECT doc_id, length(left(text, 40)) AS label, length(left(text, 90)) AS link, length(left(text, 200)) AS title, length(left(text, 2000)) AS excerpt, length(left(text, 6000)) AS snapshot, length(left(text, 40000)) AS prompt FROM documents")
 def truncations(spark, sf_dir):
-    sizes = {"label": 40, "link": 90, "title": 200, "excerpt": 2000, "snapshot": 6000, "prompt": 40_000}
-    return table(spark, sf_dir, "documents").select("doc_id", *(F.length(F.left("text", F.lit(n))).cast("long").alias(name) for name, n in sizes.items()))
+    return table(spark, sf_dir, "documents").select("doc_id", *(F.length(text.cut(F.col("text"), kind)).cast("long").alias(kind) for kind in text.CUTS))
 
 
 # A batch of all pages. Every eleventh is empty, every thirteenth a challenge page, every seventh names a canonical address that all of its kind on one
@@ -333,14 +332,16 @@ def ingest_failures(spark, sf_dir):
 def unfinished_runs(spark, sf_dir):
     """Runs that have begun and not ended."""
     runs = table(spark, sf_dir, "events").select(F.col("user_id").alias("site"), F.when(F.col("event_type") != "error", F.col("ts")).alias("finished_at"))
-    return runs.groupBy("site").agg(F.count("finished_at").alias("finished"), F.count_if(F.col("finished_at").isNull()).alias("unfinished"))
+    return quality.run_counts(runs)
 
 
-@query("SELECT s_suppkey AS site, n_name AS nation, s_name AS title FROM supplier JOIN nation ON s_nationkey = n_nationkey ORDER BY site")
+@query("""SELECT s_suppkey AS site, s_name AS title, ts AS last_scrape_at, event_type AS last_scrape_status, props AS last_error FROM supplier
+LEFT JOIN (SELECT * FROM events WHERE event_type <> 'view' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) ON user_id = s_suppkey""")
 def site_listing(spark, sf_dir):
-    """Sites by id with what their settings say; the small side is left to Spark's own size check."""
-    joined = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return joined.select(F.col("s_suppkey").alias("site"), F.col("n_name").alias("nation"), F.col("s_name").alias("title")).orderBy("site")
+    """Sites with how their last run ended, views being runs that haven't."""
+    ended = F.when(F.col("event_type") != "view", F.col("ts"))
+    runs = table(spark, sf_dir, "events").select(F.col("user_id").alias("site"), F.col("event_id").alias("id"), ended.alias("finished_at"), F.col("event_type").alias("status"), F.col("props").alias("error"))
+    return feeds.site_listing(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site"), F.col("s_name").alias("title")), runs)
 
 
 @query("SELECT user_id AS site, event_type AS key, props AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")

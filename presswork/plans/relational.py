@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from presswork.functions import dates, text
+from presswork.functions import dates, records, text
 from presswork.operators import feeds, items, quality
 from presswork.plans.registry import query, table
 
@@ -125,13 +125,13 @@ def status_json(spark, sf_dir):
 
 @query("SELECT count(*) AS n_items, count(DISTINCT o_custkey) AS n_sites FROM orders")
 def grand_total(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").count().agg(F.sum("count").alias("n_items"), F.count("*").alias("n_sites"))
+    return feeds.grand_total(as_items(table(spark, sf_dir, "orders")))
 
 
 @query("""SELECT l_suppkey AS section, count(DISTINCT l_orderkey) AS n_items FROM lineitem GROUP BY l_suppkey""")
 def section_counts(spark, sf_dir):
-    members = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("section"), "l_orderkey").distinct()
-    return members.groupBy("section").agg(F.count("*").alias("n_items"))
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("section"), F.col("l_orderkey").alias("hash"))
+    return feeds.section_counts(members, ["section"])
 
 
 @query(f"SELECT site, max(first_seen) AS built_at FROM (SELECT * FROM {ITEMS_SQL} QUALIFY row_number() OVER (PARTITION BY site ORDER BY {ORDER_SQL}) <= 10) GROUP BY site")
@@ -144,8 +144,7 @@ def last_build_date(spark, sf_dir):
 def kv_upsert_latest(spark, sf_dir):
     """A key-value table from its changes; a last value under 1 deletes the key."""
     changes = table(spark, sf_dir, "events").select("user_id", "event_type", F.when(F.col("value") >= 1, F.col("props")).alias("props"), "event_id")
-    last = changes.groupBy("user_id", "event_type").agg(F.max_by(F.struct("props"), "event_id").alias("v")).select("user_id", "event_type", "v.props")
-    return last.where("props IS NOT NULL")
+    return items.latest_values(changes, ["user_id", "event_type"], "props", "event_id")
 
 
 @query("""SELECT user_id AS site, max_by(value, event_id) AS last_value FROM events WHERE event_type = 'view' GROUP BY user_id
@@ -159,10 +158,8 @@ def row_updates(spark, sf_dir):
 
 @query("SELECT user_id AS site, event_id, ts, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS INTEGER) AS rank FROM events QUALIFY rank <= 20")
 def recent_runs(spark, sf_dir):
-    from pyspark.sql import Window
-
-    last = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
-    return table(spark, sf_dir, "events").withColumn("rank", F.row_number().over(last)).where("rank <= 20").select(F.col("user_id").alias("site"), "event_id", "ts", "rank")
+    runs = table(spark, sf_dir, "events").select(F.col("user_id").alias("site"), "event_id", "ts")
+    return quality.recent_runs(runs, 20, F.desc("event_id"))
 
 
 @query("""SELECT source, parsed, body_ok, date_ok, body_ok / parsed AS body_rate, date_ok / parsed AS date_rate, (body_ok / parsed < 0.6 OR date_ok / parsed < 0.6) AS weak,
@@ -193,7 +190,7 @@ def error_excerpts(spark, sf_dir):
 
 @query("SELECT event_type AS outcome, count(*) AS n, count(*) FILTER (WHERE value > 20) AS n_slow FROM events GROUP BY event_type")
 def outcome_counts(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("outcome")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 20).alias("n_slow"))
+    return quality.outcome_counts(table(spark, sf_dir, "events").withColumnRenamed("event_type", "outcome"), n_slow=F.col("value") > 20)
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S GMT') AS pub_date FROM orders")
@@ -224,11 +221,4 @@ def feed_titles(spark, sf_dir):
 def config_knobs(spark, sf_dir):
     """A typed setting over its default, and only what differs, as JSON."""
     k = F.from_json("props", "k int")["k"]
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.coalesce(k, F.lit(10)).alias("max_items"), F.to_json(F.struct(F.when(k != 10, k).alias("max"))).alias("knobs"))
-
-
-@query()
-def reprofile_times(spark, sf_dir):
-    """Weak runs that start a new profile, none within six hours of the last."""
-    runs = table(spark, sf_dir, "events").select(F.col("user_id").alias("site"), F.col("ts").alias("at"), (F.col("event_type") == "error").alias("weak"))
-    return quality.reprofile_times(runs)
+    return table(spark, sf_dir, "events").select("user_id", "event_id", records.knob(k, 10).alias("max_items"), records.profile_json(max=(k, 10)).alias("knobs"))

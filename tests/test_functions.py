@@ -75,7 +75,7 @@ def test_html():
 def test_records(spark):
     assert records.first_object('x {"a": "b\nc"} y') == '{"a": "b\\nc"}'
     assert records.first_object("x {bad") is None
-    assert one(spark, records.profile_json(F.lit("auto"), F.lit(100), F.lit(5))) == '{"mode":"auto","follow":5}'
+    assert one(spark, records.profile_json(mode=(F.lit("anchors"), "auto"), max=(F.lit(100), 100), follow=(F.lit(5), 3), followUntil404=(F.lit(True), False))) == '{"mode":"anchors","follow":5,"followUntil404":true}'
     assert one(spark, records.drop_key(F.col("t"), "engine"), t='{"engine":"x","a":"1"}') == '{"a":"1"}'
 
 

@@ -36,7 +36,7 @@ def outcomes(store, run):
 
 
 def test_ingest_once(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), keep_staged=True)
     store.add_site("ex.com", "https://ex.com/", '{"extract": {"paywall_markers": ["members only"], "ad_markers": ["buy now"]}}')
     store.add_site("idle.com", "https://idle.com/")
     store.add_section("ex.com", "news", "https://ex.com/news/")
@@ -66,7 +66,7 @@ def test_ingest_once(spark, tmp_path):
 
 
 def test_a_batch_that_is_tried_again_changes_nothing(spark, tmp_path, monkeypatch):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), keep_staged=True)
     batch = spark.createDataFrame([page(1, "/a/x"), page(2, "/a/y"), (3, "https://ex.com/n", None)], sources.PAGES)
     append = Store.append
 
@@ -98,11 +98,11 @@ def test_a_damaged_store_is_no_empty_store(spark, tmp_path):
     import pytest
 
     with pytest.raises(Exception):  # noqa: B017
-        Store(spark, str(tmp_path / "store")).read("items").count()
+        Store(spark, str(tmp_path / "store"), keep_staged=True).read("items").count()
 
 
 def test_a_feed_reads_its_own_bucket(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), keep_staged=True)
     pages = [(i, f"https://s{i}.com/a/x", page(i, "")[2]) for i in range(40)]
     store.ingest(spark.createDataFrame(pages, sources.PAGES), site(), section(), seen(), "r")
     assert {r.site for r in store.feed("s7.com", "news").collect()} == {"s7.com"} and store.read("items").count() == 40
@@ -122,7 +122,7 @@ def test_tables_between_jobs_are_cleared(spark):
 
 
 def test_values_and_removal(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), keep_staged=True)
     for value in ("1", "2"):
         store.put("s", "k", value)
     store.put("s", "other", "x")
@@ -141,21 +141,21 @@ def test_values_and_removal(spark, tmp_path):
 
 def test_raw_pages_are_kept_where_wanted(spark, tmp_path):
     for store_raw, config, kept in ((True, None, True), (False, '{"extract": {"storeRaw": true}}', False), (True, '{"extract": {"storeRaw": false}}', False)):
-        store = Store(spark, str(tmp_path / f"{store_raw}{kept}{config is None}"))
+        store = Store(spark, str(tmp_path / f"{store_raw}{kept}{config is None}"), keep_staged=True)
         store.add_site("ex.com", "https://ex.com", config)
         store.ingest(spark.createDataFrame([page(1, "/a/x")], sources.PAGES), site(), section(), seen(), "r", store_raw=store_raw)
         assert (store.read("items").first().raw_html is not None) == kept
 
 
 def test_replies_of_a_model(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), keep_staged=True)
     reply = F.when(F.col("page_id") == 1, F.lit('{"title": "M", "text": "' + "word " * 60 + '"}'))
     store.ingest(spark.createDataFrame([page(1, "/a/x"), page(2, "/a/y")], sources.PAGES), site(), section(), seen(), "r", reply=reply, model="m1")
     assert {r.url[-1]: (r.llm.title, r.llm.model) if r.llm else None for r in store.read("items").collect()} == {"x": ("M", "m1"), "y": None}
 
 
 def test_weak_runs_are_profiled_anew(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), keep_staged=True)
     store.add_site("module.com", "https://module.com", template="own.py")
     short = lambda i, host: (i, f"https://{host}/a/{i}", "<article>short</article>")
     good = (9, "https://good.com/a/9", page(9, "")[2].replace("<body>", '<body><time datetime="2024-01-02">x</time>'))
@@ -166,7 +166,7 @@ def test_weak_runs_are_profiled_anew(spark, tmp_path):
 
 
 def test_reprocess_writes_back(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, str(tmp_path / "store"), keep_staged=True)
     store.ingest(spark.createDataFrame([page(1, "/a/x"), page(2, "/a/y"), page(3, "/a/z")], sources.PAGES), site(), section(), seen(), "r")
     old = store.read("items")
     store.replace("items", old.withColumn("content_hash", F.when(F.col("url").endswith("x"), "old").otherwise(F.col("content_hash"))).withColumn("raw_html", F.when(F.col("url").endswith("z"), "").otherwise(F.col("raw_html"))))
@@ -179,7 +179,7 @@ def test_stream_is_batch(spark, tmp_path):
     rows = [page(i, f"/a/{i % 7}") for i in range(12)]
     for n in range(2):
         spark.createDataFrame(rows[n * 6 : n * 6 + 6], sources.PAGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    streamed, whole = Store(spark, str(tmp_path / "s1")), Store(spark, str(tmp_path / "s2"))
+    streamed, whole = Store(spark, str(tmp_path / "s1"), keep_staged=True), Store(spark, str(tmp_path / "s2"), keep_staged=True)
     stream(spark, str(tmp_path / "in"), streamed, str(tmp_path / "checkpoint"), site, section, seen).awaitTermination(120)
     whole.ingest(spark.createDataFrame(rows, sources.PAGES), site(), section(), seen(), "r")
     key = lambda s: sorted((r.site, r.hash) for r in s.read("items", ITEMS).collect())
@@ -194,13 +194,6 @@ def test_remove_section(spark):
     assert [tuple(r) for r in rest.collect()] == [("s", "b", "1")]
 
 
-def test_reprofile_cooldown(spark):
-    t = datetime(2024, 1, 1)
-    runs = [("s", t, True), ("s", t + timedelta(hours=5), True), ("s", t + timedelta(hours=7), True), ("s", t + timedelta(hours=12), True), ("s", t + timedelta(hours=14), False)]
-    got = quality.reprofile_times(spark.createDataFrame(runs, "site string, at timestamp, weak boolean")).collect()
-    assert sorted(r["at"] for r in got) == [t, t + timedelta(hours=7)]
-
-
 def test_reprocess(spark):
     raw = page(1, "/a/b")[2]
     old = spark.createDataFrame([("s", "h1", raw, "old", "Untitled"), ("s", "h2", None, "old", "kept")], "site string, hash string, raw_html string, content_hash string, title string")
