@@ -129,6 +129,11 @@ def section_id(url: Column) -> Column:
     return F.when(slug != "", slug).otherwise("index")
 
 
+def index_url(url: Column) -> Column:
+    """The address of a listing as a section keeps it: origin and path, without doubled slashes, one at the end, query or fragment."""
+    return F.concat(origin(url), F.array_join(F.transform(segments(url), lambda s: F.concat(F.lit("/"), s)), ""))
+
+
 def site_id(url: Column) -> Column:
     """The label before the last of the host, `visa` of `investor.visa.com`."""
     labels = F.split(host(url), r"\.")

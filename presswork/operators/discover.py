@@ -161,6 +161,12 @@ def crawl(links: DataFrame, found: DataFrame, seeds: DataFrame, most: int = 100,
         number += 1
 
 
+def site_of(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """Pages with the `site` that their address's origin belongs to; null where no site has it. sites: site, url. Of several the least counts."""
+    own = sites.select(urls.origin(F.col("url")).alias("_origin"), "site").where("_origin IS NOT NULL").groupBy("_origin").agg(F.min("site").alias("site"))
+    return pages.withColumn("_origin", urls.origin(F.col("url"))).join(own, "_origin", "left").drop("_origin")
+
+
 def link_inventory(raw: DataFrame) -> DataFrame:
     """Every address of a page once, with the text it is first seen with (90 characters)."""
     return raw.groupBy("page_id", "url").agg(F.min("ord").alias("ord"), F.min_by(text.cut(F.coalesce("title", F.lit("")), "link"), "ord").alias("text"))

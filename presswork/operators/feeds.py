@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswork.functions import dates, text
+from presswork.functions import dates, records, text
 
 COUNT_CAP = 100_000
 INDEX_ITEMS = 500
@@ -45,6 +45,18 @@ def feed_fields(items: DataFrame, prefer_model: Column, no_images: Column) -> Da
     )
 
 
+def with_settings(items: DataFrame, sites: DataFrame, ignore_images: bool = False, feed_source: str = "tags") -> DataFrame:
+    """Items with what their site's settings say of serving: `prefer_model` and `no_images`. sites: site, config_json.
+
+    A site's own setting wins over the instance's, which the arguments are; a setting of another kind, or settings that can't be read, count as none.
+    """
+    config = records.site_config(F.col("config_json"))
+    source = F.when(config["extract"]["feedSource"].isin("llm", "tags"), config["extract"]["feedSource"])
+    own = sites.select("site", F.coalesce(source, F.lit(feed_source)).alias("_source"), F.coalesce(config["ignore_images"], F.lit(ignore_images)).alias("_plain"))
+    joined = items.join(own.dropDuplicates(["site"]), "site", "left")
+    return joined.select(*items.columns, (F.coalesce("_source", F.lit(feed_source)) == "llm").alias("prefer_model"), F.coalesce("_plain", F.lit(ignore_images)).alias("no_images"))
+
+
 def rss_item(title: Column, link: Column, guid: Column, date: Column, description: Column, content: Column, author: Column) -> Column:
     """One item of an RSS document. Parts that are empty are left out."""
     part = lambda tag, body: F.concat(F.lit(f"      <{tag}>"), body, F.lit(f"</{tag.split(' ')[0]}>\n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from presswork.functions import urls
-from presswork.operators import discover, names
+from presswork.operators import discover, feeds, names
 from presswork.plans.derived import _with_id, GATE, GOOD_JSON, HREFS, ORIGIN
 from presswork.plans.registry import query, table
 from presswork.plans.web import HOST, pages
@@ -56,6 +56,32 @@ def crawl_listings(spark, sf_dir):
     return read.join(gains, ["site", "place"], "left").select("site", "place", F.coalesce("gain", F.lit(0)).alias("gain"))
 
 
+_SERVED = "(SELECT *, o_custkey % 3 AS k, o_orderkey % 2 = 0 AS told FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 5)"
+
+
+@query(f"""SELECT o_custkey AS site, o_orderkey AS hash, CASE WHEN k = 0 AND told THEN 'M ' || o_orderkey ELSE o_orderpriority END AS title, CASE WHEN k = 1 THEN '<p>' || o_orderpriority || '</p>' ELSE '<p>' || o_orderpriority || '</p><img src="x">' END AS content FROM {_SERVED}""")
+def served_items(spark, sf_dir):
+    """The five newest orders of every customer as they are served: settings prefer a model's fields for a third of the customers, and leave images out for another; the rest can't be read."""
+    key = F.col("o_custkey")
+    model = F.when(F.col("o_orderkey") % 2 == 0, F.struct(F.concat(F.lit("M "), F.col("o_orderkey").cast("string")).alias("title"), *(F.lit(None).cast("string").alias(x) for x in ("html", "text", "url", "publishedAt"))))
+    body = F.concat(F.lit("<p>"), "o_orderpriority", F.lit('</p><img src="x">'))
+    none = F.lit(None).cast("string")
+    own = table(spark, sf_dir, "orders").select(key.alias("site"), F.col("o_orderkey").alias("hash"), F.col("o_orderdate").cast("timestamp").alias("published_at"), F.col("o_orderdate").cast("timestamp").alias("first_seen"), F.col("o_orderpriority").alias("title"), body.alias("content_html"), none.alias("url"), none.alias("text"), none.alias("author"), model.alias("llm"))
+    top = feeds.top_items_per(own, ["site"], 5)
+    config = F.when(key % 3 == 0, '{"extract":{"feedSource":"llm"}}').when(key % 3 == 1, '{"ignore_images":true,"extract":{"feedSource":"other"}}').otherwise("{bad")
+    sites = table(spark, sf_dir, "orders").select(key.alias("site"), config.alias("config_json")).distinct()
+    return feeds.feed_fields(feeds.with_settings(top, sites), F.col("prefer_model"), F.col("no_images")).select("site", "hash", "title", "content")
+
+
+@query(f"""SELECT page_id, {ORIGIN} || rtrim(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/') AS index_url, CASE WHEN {HOST} LIKE '%.org' THEN s END AS site
+FROM pages JOIN (SELECT {ORIGIN} AS o, min(page_id) AS s FROM pages GROUP BY ALL) ON o = {ORIGIN}""")
+def listings_of_sites(spark, sf_dir):
+    """Every page's address as a listing's, and the site that its origin belongs to; only .org sites are known."""
+    own = pages(spark, sf_dir)
+    known = own.where(urls.host(F.col("url")).endswith(".org")).select(F.col("page_id").alias("site"), "url")
+    return discover.site_of(own, known).select("page_id", urls.index_url(F.col("url")).alias("index_url"), "site")
+
+
 _STEM = "lower(replace(p_brand, '#', '-'))"
 
 

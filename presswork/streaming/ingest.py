@@ -297,6 +297,11 @@ class Store:
             own = items.section_items(own, self.read("item_sections", buckets=bucket).where((F.col("site") == site) & (F.col("section") == section)), ["site", "hash"])
         return feeds.top_items(own, limit)
 
+    def served(self, site: str, section: str | None = None, limit: int = 10, **defaults) -> DataFrame:
+        """A feed's items as they are served: by the site's settings, a model's fields over the page's, and without images."""
+        own = feeds.with_settings(self.feed(site, section, limit), self.read("sites").where(F.col("site") == site), **defaults)
+        return feeds.feed_fields(own, F.col("prefer_model"), F.col("no_images"))
+
     def index(self, site: str) -> DataFrame:
         """A site's newest items for its index page."""
         return self.feed(site, limit=feeds.INDEX_ITEMS)
