@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from presswork.functions import urls
-from presswork.operators import discover, feeds, names
+from presswork.operators import discover, embedded, feeds, names
 from presswork.plans.derived import _with_id, GATE, GOOD_JSON, HREFS, ORIGIN
 from presswork.plans.registry import query, table
 from presswork.plans.web import HOST, pages
@@ -82,6 +82,23 @@ def listings_of_sites(spark, sf_dir):
     return discover.site_of(own, known).select("page_id", urls.index_url(F.col("url")).alias("index_url"), "site")
 
 
+_DEEP = '{"headline":"T {0}","pubDate":" 2026 ","permalink":"/a/{0}","more":{"n":[1,"x",{"url":"","href":"//other.example/x"}]}}'
+
+
+@query(f"""SELECT page_id, {ORIGIN} || '/a/' || page_id AS url, 'T ' || page_id AS title, '2026' AS date, 'json' AS source, CAST(page_id % 6 AS INTEGER) AS depth FROM pages WHERE page_id % 7 > 0
+UNION ALL SELECT page_id, {ORIGIN} || '/b/' || page_id, NULL, NULL, 'uri-regex', 0 FROM pages WHERE page_id % 7 = 0""")
+def embedded_nested(spark, sf_dir):
+    """A record in a script of every page, up to five lists and objects deep; a seventh of the scripts isn't JSON."""
+    key = F.col("page_id")
+    record = F.replace(F.lit(_DEEP), F.lit("{0}"), key.cast("string"))
+    for level in range(1, 6):
+        wrapped = F.concat(F.lit('{"k":'), record, F.lit("}")) if level % 2 else F.concat(F.lit("[0,"), record, F.lit("]"))
+        record = F.when(key % 6 >= level, wrapped).otherwise(record)
+    script = F.concat(F.lit('<script id="x" type="application/json">'), F.when(key % 7 == 0, F.concat(F.lit('{"uri":"\\/b\\/'), key.cast("string"), F.lit('", bad'))).otherwise(record), F.lit("</script>"))
+    given = pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), script)))
+    return embedded.embedded_records(given).select("page_id", "url", "title", "date", "source", "depth")
+
+
 _STEM = "lower(replace(p_brand, '#', '-'))"
 
 
