@@ -49,6 +49,7 @@ def nothing(spark, tmp_path_factory):
     spark.createDataFrame([], DOCS).write.parquet(str(root / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(root / "labels.parquet"))
     spark.createDataFrame([], "vec_id long, embedding array<double>").write.parquet(str(root / "embeddings.parquet"))
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(str(root / "conversations.parquet"))
     return str(root)
 
 
