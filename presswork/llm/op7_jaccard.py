@@ -19,11 +19,13 @@ A document's set is its distinct shingles of five words (as 64-bit hashes); two
 5. What is left is compared turn by turn: each set with the smallest of its key and with a few others of it at random.
    What links is joined; keys of one component leave, as do rows whose remaining shared shingles can't reach the
    threshold with any size in their key. A set that links with a good part of its key is found in a few turns.
-6. When there are a few pairs for each row, or a turn joins too little to take a quarter of the pairs away, pairs of
-   different components that still share a key are tested, which makes it exact. Bitmaps and the places of the key tell
-   how large the intersection can be at most; only pairs that may link leave the join, to be compared by their
-   whole sets. So the pairs that are tested, not those that are made, can outgrow the rows of a key: where sets that
-   are almost copies stay apart, each has to be held against the others.
+6. A key that then still has many sets is cut into narrower ones. Each set is told by its difference from the smallest of
+   the key, so what nearly all have in common no longer counts, and a shingle that nearly all have but this set lacks
+   does. Differences of sets that link share all but few shingles; the same rule as in step 3, with subsets of a size that
+   the cost decides, makes the narrower keys. That is exact as well. Turns are taken with these keys, too.
+7. Pairs of different components that share a key in the end are tested, which makes it exact. Bitmaps and the places of
+   the key tell how large the intersection can be at most; only pairs that may link leave the join, to be compared by their
+   whole sets. Keys up to CROWD rows cost a few tests for each row.
 
 Nulls and odd input: a document without words or text has an empty set and links with nothing. With fewer
 than five words the whole sequence is the one shingle. Rows that repeat a doc_id keep a row each. A null doc_id
@@ -35,6 +37,9 @@ other columns' names don't matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, reduce
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +58,10 @@ COUNTED = 0.3
 MANY, FEW = 64, 4
 #: Others that a set of an open key is compared with in a turn, out of a group of so many.
 PARTNERS, GROUP = 4, 64
+#: Rows of a key from which on narrower keys are made in it, if there are more than half as many pairs for each row.
+CROWD = 32
+#: Subsets that a set may make for one pair of classes, if they are of two shingles or more.
+SUBSETS = 24
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,13 +226,16 @@ def _open(keys: DataFrame) -> DataFrame:
     hub = F.min_by(F.struct("s", "n", "rest", "c"), F.struct("n", "s"))
     key = keys.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least"), F.max("rest").alias("most"), F.count("*").alias("g"), hub.alias("hub")).where("low < high")
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * 4 / 5))
-    return keys.join(key, "key").where(_may_link(F.col("n"), F.col("rest"), partner, F.col("most"))).select("key", "s", "n", "rest", "c", "g", "hub")
+    return keys.join(key, "key").where(_may_link(F.col("n"), F.col("rest"), partner, F.col("most"))).select("key", "s", "n", "rest", "c", "side", "g", "hub")
 
 
 def _pairs_of_keys(keys: DataFrame) -> DataFrame:
-    """(key, rows, pairs): how many pairs of different components each key has."""
-    many = keys.groupBy("key", "c").agg(F.count("*").alias("g")).groupBy("key").agg(F.sum("g").alias("rows"), F.sum(F.col("g") * F.col("g")).alias("same"))
-    return many.select("key", "rows", ((F.col("rows") * F.col("rows") - F.col("same")) / 2).cast("long").alias("pairs")).where("pairs > 0")
+    """(key, rows, pairs): how many pairs of different components, and of different sides where there are two, each key has."""
+    on = lambda bit: F.count_if(F.col("side").bitwiseAND(bit) > 0)
+    many = keys.groupBy("key", "c").agg(F.count("*").alias("g"), on(1).alias("x"), on(2).alias("y"), F.max("side").alias("side"))
+    sums = many.groupBy("key").agg(F.sum("g").alias("rows"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("y")).alias("same"), F.max("side").alias("side"))
+    both = F.col("x") * F.col("y") - F.col("same")
+    return sums.select("key", "rows", F.when(F.col("side") == 3, both / 2).otherwise(both).cast("long").alias("pairs")).where("pairs > 0")
 
 
 def _met(rows: DataFrame, other: str) -> DataFrame:
@@ -252,45 +264,142 @@ def _with_partners(rows: DataFrame, turn: int) -> DataFrame:
     return _met(dealt.withColumn("others", others).select("s", "n", "rest", "c", F.explode("others").alias("p")).where("p IS NOT NULL"), "p").distinct()
 
 
-def links(sets: DataFrame, seen: list[tuple[str, int, int]] | None = None) -> DataFrame:
-    """(node, root) of all sets in `sets` (s, n, shingles) that link with another one, but the roots.
+def _differences(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows, with what tells each set from the smallest of its key: `left`, the shingles of that symmetric difference which
+    a set of another component also has in its own (rare ones first), and `budget`, nine times what `left` of two sets may differ
+    by on this set's side.
 
-    `seen` takes (step, rows, pairs) of each step, for tests and logs.
+    Two sets link if their symmetric difference has at most a ninth of the sum of both sizes. It is the symmetric difference
+    of their differences from the smallest set, of which no other can have the shingles that aren't in `left`.
     """
-    seen = [] if seen is None else seen
-    _, keys = _keyed(sets.select("s", "n", "shingles", F.col("s").alias("c")))
-    found = stored(_linked(_with_ends(keys), sets).select("a", "b"))
-    roots = components(found)
-    named = keys.select("key", "s").join(roots, keys.s == roots.node, "left").select("key", "s", F.coalesce("root", "s").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    active = stored(sets.join(named.join(mixed, "key", "left_semi").select("s", "c").distinct(), "s"))
-    prefixes, keys = _keyed(active)
+    hub = sets.select(F.col("s").alias("h"), F.col("shingles").alias("of_hub"))
+    met = rows.select("key", "s", "n", "rest", "c", F.col("hub.s").alias("h")).join(sets.select("s", "shingles"), "s").join(hub, "h")
+    far = stored(met.select("key", "s", "n", "rest", "c", F.concat(F.array_except("shingles", "of_hub"), F.array_except("of_hub", "shingles")).alias("far")))
+    each = far.select("key", "s", "c", F.explode("far").alias("x"))
+    shared = each.groupBy("key", "x").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("df")).where("low < high").select("key", "x", "df")
+    left = each.select("key", "s", "x").join(shared, ["key", "x"]).groupBy("key", "s").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("left"))
+    kept = F.coalesce(F.expr("transform(left, e -> e.x)"), F.array().cast("array<long>"))
+    return far.join(left, ["key", "s"], "left").select("key", "s", "n", "rest", "c", kept.alias("left"), (F.col("n") - (F.size("far") - F.size(kept)) * 9).alias("budget"))
+
+
+def _subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row (key, s, n, rest, c, side, name, take, k, left) a key for each subset of k of the first `take` in `left`."""
+    chosen = lru_cache(maxsize=1000)(lambda m, k: np.array(list(combinations(range(m), k)), dtype=np.int64).reshape(comb(m, k), k))
+    for batch in batches:
+        name, take, k = (batch.column(i).to_numpy() for i in (6, 7, 8))
+        lists, keys, source, many = batch.column(9), [], [], 0
+        at, x = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        for row in range(len(name) + 1):
+            if keys and (row == len(name) or many > 500_000):
+                rest = batch.take(pa.array(np.repeat(np.array(source), [len(some) for some in keys])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(rest.column(i) for i in range(1, 6))], names=["key", "s", "n", "rest", "c", "side"])
+                keys, source, many = [], [], 0
+            if row < len(name):
+                front = mix(x[at[row] : min(at[row + 1], at[row] + take[row])])
+                made = mix(front[chosen(len(front), k[row])].sum(axis=1, dtype=np.uint64) ^ mix(name[row : row + 1].view(np.uint64)))
+                if len(made):
+                    keys.append(made)
+                    source.append(row)
+                    many += len(made)
+
+
+def _choose(n: Column, k: int) -> Column:
+    """The subsets of k that n have."""
+    return reduce(lambda x, i: x * (n - i) / (i + 1), range(k), F.lit(1.0))
+
+
+def _finer(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Narrower keys (key, s, n, rest, c, side) for the rows of crowded keys: any two sets of one key that link share one.
+
+    If two sets' `left` may differ by e shingles, they share (|a| + |b| - e) / 2, all but t = (|a| - |b| + e) / 2 of a's. So the
+    first k of what they share are a subset of the first t + k of each. Sets are classed by the power of two that holds their
+    budget and by the size of `left`; each pair of classes has its own k: the largest that makes few subsets, and at most what any
+    pair of them shares. Classes with few pairs, or of which a pair may share nothing, have one key. `side`: 1 or 2 for the sets
+    of different classes, which are held against each other only, else 3.
+    """
+    size = F.size("left").cast("long")
+    level = F.ceil(F.log2(F.greatest(F.col("budget") / 9.0, F.lit(1.0)))).cast("int")
+    width = F.pow(F.lit(2.0), F.greatest(level, F.floor(F.log2(size + 1.0)) - 4))
+    far = stored(_differences(rows, sets).withColumn("kind", F.struct(level.alias("level"), width.alias("width"), F.floor(size / width).alias("step"))))
+    kinds = stored(far.groupBy("key", "kind").agg(F.max("budget").alias("top"), F.min(size).alias("least"), F.max(size).alias("most"), F.count("*").alias("g")))
+    one, two = (kinds.select("key", *(F.col(x).alias(f"{x}{i}") for x in ("kind", "top", "least", "most", "g"))) for i in (1, 2))
+    e = F.floor((F.col("top1") + F.col("top2")) / 9)
+    met = one.join(two, "key").where("kind1 <= kind2 AND top1 + top2 >= 0").withColumn("e", e)
+    spare = F.floor((F.greatest(F.col("most1") - F.col("least2"), F.col("most2") - F.col("least1")) + F.col("e")) / 2)
+    share = F.ceil((F.col("least1") + F.col("least2") - F.col("e")) / 2)
+    k = F.when(share < 1, 0).when(F.col("g1") * F.col("g2") <= (F.col("g1") + F.col("g2")) * (CROWD // 4), 0)
+    for size_of in (6, 4, 3, 2):
+        k = k.when((share >= size_of) & (_choose(spare + size_of, size_of) <= SUBSETS), size_of)
+    near = (F.col("least1") - F.col("most2") <= F.col("e")) & (F.col("least2") - F.col("most1") <= F.col("e"))
+    met = met.where(near).withColumn("k", k.otherwise(1).cast("long")).withColumn("name", F.xxhash64("key", "kind1", "kind2"))
+    view = lambda i, j, side: F.struct(F.col(f"kind{i}").alias("kind"), F.col(f"top{j}").alias("top"), F.col(f"least{j}").alias("least"), "k", "name", side.cast("int").alias("side"))
+    same = F.col("kind1") == F.col("kind2")
+    both = F.when(same, F.array(view(1, 2, F.lit(3)))).otherwise(F.array(view(1, 2, F.lit(1)), view(2, 1, F.lit(2))))
+    placed = far.join(met.select("key", F.explode(both).alias("v")).select("key", "v.*"), ["key", "kind"])
+    t = F.floor((size - F.col("least") + F.floor((F.col("budget") + F.col("top")) / 9)) / 2)
+    keys = placed.where((F.col("budget") + F.col("top") >= 0) & (t >= 0)).select("key", "s", "n", F.col("rest").cast("long"), "c", "side", "name", (t + F.col("k")).alias("take"), "k", "left")
+    return stored(keys.mapInArrow(_subsets, "key long, s long, n long, rest long, c long, side int"))
+
+
+def _by_turns(keys: DataFrame, sets: DataFrame, seen: list, many: int) -> tuple[DataFrame, int, int, DataFrame | None]:
+    """Compares turn by turn what shares a key, as long as that joins much: open rows that remain, how many, their pairs, links found."""
     turn, before, linked = 0, None, None
     while True:
         turn += 1
         rows = stored(_open(keys))
         n, pairs = _pairs_of_keys(rows).agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
         seen.append(("open", n, pairs))
-        if not pairs:
-            return roots if linked is None else components(found.unionByName(linked))
-        if pairs <= (MANY if before is None else FEW) * n or before is not None and pairs > before * 3 / 4:
-            break
+        if pairs <= (many if before is None else FEW) * n or before is not None and pairs > before * 3 / 4:
+            return rows, n, pairs, linked
         before = pairs
         near = stored(_with_partners(rows, turn))
         more = stored(_linked(near, sets))
         seen.append(("partners", near.count(), more.count()))
         linked = more.select("a", "b") if linked is None else linked.unionByName(more.select("a", "b"))
         joined = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        keys = rows.join(joined, rows.c == joined.node, "left").withColumn("c", F.coalesce("root", "c")).select("key", "s", "n", "rest", "c")
+        keys = rows.join(joined, rows.c == joined.node, "left").withColumn("c", F.coalesce("root", "c")).select("key", "s", "n", "rest", "c", "side")
+
+
+def _rest(rows: DataFrame, prefixes: DataFrame, sets: DataFrame, seen: list) -> DataFrame:
+    """Links among the pairs that still share a key, tested one by one."""
     mapped = stored(rows.join(prefixes.select("s", "shared", _bitmap(F.col("own")).alias("bits")), "s"))
-    one, two = (mapped.select("key", *(F.col(x).alias(f"{x}{i}") for x in ("s", "n", "c", "rest", "shared", "bits"))) for i in (1, 2))
+    one, two = (mapped.select("key", *(F.col(x).alias(f"{x}{i}") for x in ("s", "n", "c", "rest", "shared", "bits", "side"))) for i in (1, 2))
     most = F.least("rest1", F.col("shared1") - _lacking("bits1", "bits2")), F.least("rest2", F.col("shared2") - _lacking("bits2", "bits1"))
-    apart = (F.col("s1") < F.col("s2")) & (F.col("c1") != F.col("c2")) & _may_link(F.col("n1"), F.col("rest1"), F.col("n2"), F.col("rest2")) & _may_link(F.col("n1"), most[0], F.col("n2"), most[1])
-    rest = stored(one.join(two, "key").where(apart).select(F.col("s1").alias("a"), F.col("s2").alias("b")).distinct())
+    apart = (F.col("s1") < F.col("s2")) & (F.col("c1") != F.col("c2")) & ((F.col("side1") == 3) | (F.col("side1") != F.col("side2")))
+    able = _may_link(F.col("n1"), F.col("rest1"), F.col("n2"), F.col("rest2")) & _may_link(F.col("n1"), most[0], F.col("n2"), most[1])
+    rest = stored(one.join(two, "key").where(apart & able).select(F.col("s1").alias("a"), F.col("s2").alias("b")).distinct())
     more = stored(_linked(rest, sets))
     seen.append(("rest", rest.count(), more.count()))
-    linked = more if linked is None else linked.unionByName(more)
-    return components(found.unionByName(linked))
+    return more
+
+
+def links(sets: DataFrame, seen: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """(node, root) of all sets in `sets` (s, n, shingles) that link with another one, but the roots.
+
+    `seen` takes (step, rows, pairs) of each step, for tests and logs; `tested` are the pairs that share a key in the end.
+    """
+    seen = [] if seen is None else seen
+    _, keys = _keyed(sets.select("s", "n", "shingles", F.col("s").alias("c")))
+    found = stored(_linked(_with_ends(keys), sets).select("a", "b"))
+    roots = components(found)
+    named = keys.select("key", "s").join(roots, keys.s == roots.node, "left").select("key", "s", F.coalesce("root", "s").alias("c"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    active = stored(sets.join(named.join(mixed, "key", "left_semi").select("s", "c").distinct(), "s"))
+    prefixes, keys = _keyed(active)
+    rows, n, pairs, linked = _by_turns(keys.withColumn("side", F.lit(3)), sets, seen, MANY)
+    more = [linked] if linked is not None else []
+    if pairs > CROWD / 2 * n:
+        finer, n, pairs, linked = _by_turns(_finer(rows.where(F.col("g") > CROWD), sets), sets, seen, MANY)
+        more += [linked] if linked is not None else []
+        small = rows.where(F.col("g") <= CROWD)
+        pairs += _pairs_of_keys(small).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+        rows = small.unionByName(finer)
+    seen.append(("tested", n, pairs))
+    if pairs:
+        more.append(_rest(rows, prefixes, sets, seen))
+    for some in more:
+        found = found.unionByName(some)
+    return components(found) if more else roots
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -18,13 +18,14 @@ def run(spark, monkeypatch, rows):
     return got, {step: max(x[2] for x in seen if x[0] == step) for step in {x[0] for x in seen}}, seen
 
 
-def changed(words, n):
-    """n copies of one text, each with another word somewhere: copies link only where the changed places are near the ends."""
+def changed(words, n, places=1):
+    """n copies of one text, each with other words somewhere: copies link only where the changed places are near the ends."""
     rng, base = random.Random(words), [f"w{i}" for i in range(words)]
     rows = []
     for i in range(n):
         text = list(base)
-        text[rng.randrange(words)] = f"x{i}"
+        for place in rng.sample(range(words), places):
+            text[place] = f"x{i}_{place}"
         rows.append((i, " ".join(text)))
     return rows
 
@@ -40,6 +41,18 @@ def test_pairs_grow_with_the_group(spark, monkeypatch, words):
     assert most.get("rest", 0) <= len(many), seen
 
 
+@pytest.mark.parametrize("places", [2, 3])
+def test_few_tests_where_most_copies_do_not_link(spark, monkeypatch, places):
+    rows = changed(100, 1200, places)
+    got, _, seen = run(spark, monkeypatch, rows)
+    words = [t.split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(96)} for w in words]
+    links = sum(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert got == brute_components(rows)
+    first = next(n for step, n, _ in seen if step == "open")
+    assert sum(n for step, _, n in seen if step == "tested") <= 20 * links + 20 * first, seen
+
+
 def test_passage_that_many_short_texts_share(spark, monkeypatch):
     """Texts that have most of their words from one passage, and don't link: no pair is compared."""
     rng = random.Random(3)
