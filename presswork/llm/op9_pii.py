@@ -7,14 +7,15 @@ keyed Feistel permutation of its own format's domain gives. A permutation has an
 - card numbers: 13 to 19 digits, the first 2 to 6, with a right check digit, in one or in groups; these stay so. Other
   numbers stay as they are, and no pseudonym is one of them
 - IBANs with right check digits, which stay right, also before words and numbers that look like further groups
-- telephone numbers with a country code or in North American form, also with spaces or a leading 1: the country code stays,
+- telephone numbers with a country code (8 to 15 digits) or in North American form, also with spaces or a leading 1: the country code stays,
   and one number maps alike however it is grouped
 - IPv4 addresses; social security numbers in their valid ranges
 - dates of the calendar, 1900 to 2099, in numbers (year first, or day or month first) or with an English month name, days
   and months of one or two digits, also joined to others: another date, written alike. Dates with a day over 12, and those
   with a number under 10, change places among themselves, so what is written can be read back
 - the local part of e-mail addresses: letters for letters, digits for digits
-- access key ids, and values of six characters or more named as passwords, tokens, secrets or API keys: punctuation stays
+- access key ids, and values of six characters or more named as passwords, tokens, secrets or API keys, if they aren't plain
+  words (a digit, a sign, or a capital behind a small letter): punctuation stays
 
 Values of more than 64 characters are permuted in pieces, forwards and then backwards, each keyed by those before it, so
 that time grows with length and every character changes under the key.
@@ -281,9 +282,14 @@ def _named_date(text: str, key: Cipher) -> str | None:
 _SHORT_CODES = {"1", "7"} | set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
-def _phone(text: str, key: Cipher) -> str:
-    """The digits behind the country code are permuted, wherever groups end; a 0 in brackets stays."""
+def _phone(text: str, key: Cipher) -> str | None:
+    """The digits behind the country code are permuted, wherever groups end; a 0 in brackets stays.
+
+    An international number has 8 to 15 digits; what has fewer or more is a row of numbers.
+    """
     digits = re.sub(r"\D", "", text)
+    if text[0] == "+" and not 8 <= len(digits) <= 15:
+        return None
     code = "1" if re.match(r"1[ .-]", text) else ""
     if text[0] == "+":
         code = next((digits[:n] for n in (1, 2) if digits[:n] in _SHORT_CODES), digits[:3])
@@ -298,15 +304,22 @@ def _email(text: str, key: Cipher) -> str:
     return _classes(local, key, "mail") + at + host
 
 
-def _secret(text: str, key: Cipher) -> str:
+def _is_secret(value: str) -> bool:
+    """Not a plain word: with a digit, a sign that words don't have, or capitals behind small letters."""
+    word = value.rstrip(".:!?)]}…")
+    return re.search(r"[0-9]|[a-z][A-Z]|[^\w'’.:-]", word) is not None
+
+
+def _secret(text: str, key: Cipher) -> str | None:
     head = re.match(r"(?i)[a-z_ -]+?\s*[:=]\s*[\"']?", text).group()
     value = text[len(head) :]
+    if not _is_secret(value):
+        return None
     is_hex = lambda x: re.fullmatch(r"[0-9a-f]+", x) is not None
-    if is_hex(value):
-        return head + _classes(value, key, "hex", ("0123456789abcdef",))
+    small = is_hex(value)
     while True:
-        value = _classes(value, key, "secret")
-        if not is_hex(value):
+        value = _classes(value, key, "hex", ("0123456789abcdef",)) if small else _classes(value, key, "secret")
+        if is_hex(value) == small and _is_secret(value):
             return head + value
 
 

@@ -119,3 +119,15 @@ def test_query(spark, tmp_path):
     want = [(d, *op9.pseudonymise_text(t, op9.DEFAULT_KEY)) for d, t, _ in rows]
     digest = lambda rows: sorted(hashlib.sha256(repr(tuple(r)).encode()).hexdigest() for r in rows)
     assert digest(got.collect()) == digest(want) and sorted(r[2] for r in want) == [0, 0, 1, 2, 2]
+
+
+@pytest.mark.parametrize("text", ["token: whatever it means", "the secret: something nice", "password = required", "Secret: Wonderful.", "a gain of +10 20 30", "+1 200 300"])
+def test_prose_is_left_alone(text):
+    assert op9.pseudonymise_text(text, "k") == (text, 0)
+
+
+@pytest.mark.parametrize("value", ["hunter22", "a1b2c3", "9f86d081884c7d65", "correct!horse", "camelCaseKey"])
+def test_secrets_with_signs_come_back(value):
+    for i in range(30):
+        new, n = op9.pseudonymise_text(f"password: {value}", f"k{i}")
+        assert n == 1 and new != f"password: {value}" and op9.restore_text(new, f"k{i}") == f"password: {value}"
