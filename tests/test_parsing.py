@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from presswork.functions import html
 from presswork.operators import discover
-from presswork.plans import derived, web
+from presswork.plans import derived, registry, web
 from presswork.sources import feeds as sources
 
 DATA = "/root/testdata/sf0.001"
@@ -72,3 +72,20 @@ def test_links_without_the_rest(spark):
     df = spark.createDataFrame([(1, "https://e.com/", page), (2, "https://e.com/", None)], sources.PAGES)
     both = df.select(html.page_links(F.col("html"), F.col("url")).alias("l"), html.page_fields(F.col("html"), F.col("url")).alias("f")).collect()
     assert [(r.l.anchors, r.l.records) for r in both] == [(r.f.anchors, r.f.records) for r in both] and both[0].l.anchors[0].url == "https://e.com/x"
+
+
+CUT = "words of a body &amp; more&ampThe &lt;b&gt; " * 8
+
+
+@pytest.mark.parametrize("name", ["clean_article"])
+def test_ampersands_that_begin_no_whole_reference(spark, tmp_path, name):
+    """Texts that were cut within a reference, as SQL has them."""
+    duckdb = pytest.importorskip("duckdb")
+    cuts = ["&", "&a", "&am", "&amp", "&amp;", "&amp;&ampx", "&lt", "&#38", "&copy"]
+    page = "<html><head><title>Ly {0}</title></head><body><article><p>{1}{0}</p><p>End {0}Th</p></article></body></html>"
+    rows = [(i, "https://e.com/a", page.format(c, CUT)) for i, c in enumerate(cuts)]
+    spark.createDataFrame(rows, sources.PAGES).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(registry.SQL[name]).fetchall()
+    assert sorted(map(tuple, getattr(web if name == "clean_article" else derived, name)(spark, str(tmp_path)).collect())) == sorted(want)
