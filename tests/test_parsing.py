@@ -77,7 +77,7 @@ def test_links_without_the_rest(spark):
 CUT = "words of a body &amp; more&ampThe &lt;b&gt; " * 8
 
 
-@pytest.mark.parametrize("name", ["clean_article"])
+@pytest.mark.parametrize("name", ["clean_article", "sanitized_pages"])
 def test_ampersands_that_begin_no_whole_reference(spark, tmp_path, name):
     """Texts that were cut within a reference, as SQL has them."""
     duckdb = pytest.importorskip("duckdb")
@@ -89,3 +89,11 @@ def test_ampersands_that_begin_no_whole_reference(spark, tmp_path, name):
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     want = con.sql(registry.SQL[name]).fetchall()
     assert sorted(map(tuple, getattr(web if name == "clean_article" else derived, name)(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_loose_ampersands_elsewhere():
+    page = "<p title='a&copy=1&amp;b'>x&ampT &notit; &amp;lt;</p><script>a && b</script><!-- & -->﷐&"
+    root = html.parse(page)
+    assert root.find("p").attrs["title"] == "a&copy=1&b" and root.find("script").text() == "a && b"
+    assert root.find("p").text() == "x&ampT &notit; &lt;"
+    assert root.html() == '<p title="a&amp;copy=1&amp;b">x&ampT &notit; &amp;lt;</p><script>a && b</script><!-- & -->﷐&'
