@@ -2,6 +2,7 @@
 
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,15 @@ def test_loose_ampersands_elsewhere():
     assert root.find("p").attrs["title"] == "a&copy=1&b" and root.find("script").text() == "a && b"
     assert root.find("p").text() == "x&ampT &notit; &lt;"
     assert root.html() == '<p title="a&amp;copy=1&amp;b">x&ampT &notit; &amp;lt;</p><script>a && b</script><!-- & -->﷐&'
+
+
+def batch_of(n, size):
+    pages = pd.Series([f"<html><head><title>T{i}</title></head><body><article><a href='/{i}'>{i}</a>{'word ' * (size // 5)}</article></body></html>" for i in range(n)] + [None])
+    return pages, pd.Series(["https://e.com/"] * (n + 1)), pd.Series([None] * (n + 1))
+
+
+def test_fields_of_a_batch_come_in_parts():
+    pages, urls, markers = batch_of(40, html.PART // 8)
+    frames = list(html._page_fields(iter([(pages, urls, markers)] * 2)))
+    assert len(frames) >= 10 and max(map(len, frames)) <= 9
+    assert [t for f in frames for t in f["title"]] == [*(f"T{i}" for i in range(40)), None] * 2
