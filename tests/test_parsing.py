@@ -110,3 +110,10 @@ def test_fields_of_a_batch_come_in_parts():
     frames = list(html._page_fields(iter([(pages, urls, markers)] * 2)))
     assert len(frames) >= 10 and max(map(len, frames)) <= 9
     assert [t for f in frames for t in f["title"]] == [*(f"T{i}" for i in range(40)), None] * 2
+
+
+def test_parts_of_a_batch():
+    sizes = [html.PART // 2 + 1, 1, html.PART // 2, 3 * html.PART, 0, 5]
+    cut = list(html.parts(pd.Series(["x" * n if n else None for n in sizes])))
+    assert [(s.start, s.stop) for s in cut] == [(0, 3), (3, 4), (4, 6)]
+    assert list(html.parts(pd.Series([], dtype=object))) == []
