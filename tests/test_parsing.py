@@ -117,3 +117,12 @@ def test_parts_of_a_batch():
     cut = list(html.parts(pd.Series(["x" * n if n else None for n in sizes])))
     assert [(s.start, s.stop) for s in cut] == [(0, 3), (3, 4), (4, 6)]
     assert list(html.parts(pd.Series([], dtype=object))) == []
+
+
+def test_links_and_sanitized_pages_come_in_parts():
+    pages, urls, _ = batch_of(20, html.PART // 4)
+    links = list(html._page_links(iter([(pages, urls)])))
+    clean = list(html._sanitize(iter([pages])))
+    assert len(links) == len(clean) == 6
+    assert [a["url"] for f in links for anchors in f["anchors"] for a in anchors] == [f"https://e.com/{i}" for i in range(20)]
+    assert [x for s in clean for x in s] == [*map(html.sanitize, pages[:20]), None]
