@@ -98,9 +98,10 @@ def frontier(edges: DataFrame, seeds: DataFrame, depth: int = 8, most: int = 40,
     """(site, url, level) of pages reached over edges (site, src, dst) from seeds (site, url), by levels; at most `most` of each site, nearest first.
 
     One join a level. A site that has its pages leaves the levels, as all later pages are farther. Edges and levels are written, so that no
-    level redoes the ones before it; nothing comes to the driver but how many rows a level has (`seen_levels` takes them).
+    level redoes the ones before it; nothing comes to the driver but how many rows a level has (`seen_levels` takes them). Edges are written
+    as they come: a level drops repeats among the few that it reaches, where a task would hold its share of all edges for that.
     """
-    edges = stored(edges.select("site", "src", "dst").distinct())
+    edges = stored(edges.select("site", "src", "dst"))
     level = seen = stored(seeds.select("site", "url", F.lit(0).alias("level")).distinct())
     counts = level.groupBy("site").agg(F.count("*").alias("n"))
     for n in range(1, depth + 1):

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from presswork import session
 from presswork.operators import discover
 from presswork.plans import web
 
@@ -36,3 +39,12 @@ def test_frontier_of_sites(spark):
     got = sorted((r.site, r.level, r.url) for r in discover.frontier(edges, seeds, most=15).collect())
     want = [("a", n, u) for u, n in brute(pairs["a"], 1, most=15)] + [("b", n, u) for u, n in brute(pairs["b"], 2, most=15)] + [("c", 0, 3)]
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("make", [web.bfs_frontier, web.bfs_frontier_links], ids=lambda f: f.__name__)
+def test_edges_are_held_in_no_task(spark, monkeypatch, make):
+    """Edges are written without a shuffle or a table of them in memory; repeats only go from what a level reaches."""
+    plans = []
+    monkeypatch.setattr(discover, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or session.stored(df))
+    assert len(make(spark, "/root/testdata/sf0.001").collect()) == 40
+    assert "Aggregate" not in plans[0] and "Join" not in plans[0]
