@@ -128,14 +128,15 @@ def crawl(links: DataFrame, found: DataFrame, seeds: DataFrame, most: int = 100,
     first `follow` listings after the seed lead on, or all of them `to_the_end`.
 
     A level of all sites is one step; sites that have stopped aren't in it. A site has `pages` listings in hand at most. `read` takes
-    the number of listings of each level.
+    the number of listings of each level. Links and candidates are written, so that all levels see the same ones, whatever they are made of.
     """
     links = stored(links.select("site", "src", "ord", "dst").where("dst IS NOT NULL"))
+    found = stored(found.select("site", "url", "ord", "candidate").where("candidate IS NOT NULL"))
     level = stored(seeds.groupBy("site").agg(F.min("url").alias("url")).select("site", "url", F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("total")))
     queued = level.select("site", "url")
     visited, merged, number = None, None, 0
     while True:
-        sightings = level.join(found, ["site", "url"]).where("candidate IS NOT NULL")
+        sightings = level.join(found, ["site", "url"])
         fresh = sightings if merged is None else sightings.join(merged, ["site", "candidate"], "left_anti")
         first = stored(fresh.groupBy("site", "candidate").agg(F.min(F.struct("place", "ord")).alias("at")).select("site", "candidate", "at.place", "at.ord"))
         gains = first.groupBy("site", "place").agg(F.count("*").alias("gain"))

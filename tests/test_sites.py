@@ -1,5 +1,6 @@
 """Crawls, unique names, stored pages as a source, templates as table functions, and wide pages."""
 
+import os
 import random
 import time
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from presswork.functions import html
 from presswork.operators import discover, names
-from presswork.plans import web
+from presswork.plans import sites, web
 from presswork.sources import pages as fetched
 from presswork.sources import templates
 
@@ -52,6 +53,25 @@ def test_crawl(spark):
         assert sum(levels) == sum(len(urls) for urls, _ in want.values())
 
 
+def test_all_levels_see_the_same_candidates(spark):
+    """Candidates that fall to another listing each time they are made are each met once."""
+    links = spark.createDataFrame([(1, u, 0, u + 1) for u in range(3)], "site int, src long, ord int, dst long")
+    anywhere = F.udf(lambda _: os.urandom(1)[0] % 4, "int").asNondeterministic()
+    found = spark.range(300).select(F.lit(1).alias("site"), anywhere("id").cast("long").alias("url"), F.lit(0).alias("ord"), F.col("id").alias("candidate"))
+    read, merged = discover.crawl(links, found, spark.createDataFrame([(1, 0)], "site int, url long"), most=1000, to_the_end=True)
+    assert read.count() == 4 and sorted(r.candidate for r in merged.collect()) == list(range(300))
+
+
+def test_listings_whatever_the_order_of_rows(spark, tmp_path):
+    """Lines 10 and 11 of a supplier are of one order and number; the first listing has the part of one of them already."""
+    lines = [(i, 1, 1, 100 + i) for i in range(9)] + [(9, 1, 1, 100), (9, 1, 1, 500), (10, 1, 1, 600)]
+    got = []
+    for k, rows in enumerate((lines, lines[::-1])):
+        spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long").coalesce(1).write.parquet(str(tmp_path / f"{k}/lineitem.parquet"))
+        got.append(sorted(map(tuple, sites.crawl_listings(spark, str(tmp_path / str(k))).collect())))
+    assert got[0] == got[1] == [(1, 0, 9), (1, 1, 2)]
+
+
 def test_full_sites_leave_the_frontier(spark):
     """A page with forty links: its site is full after the first level, whatever lies behind."""
     edges = spark.createDataFrame([("a", 0, i) for i in range(1, 50)] + [("a", i, 100 * i + k) for i in range(1, 50) for k in range(20)] + [("b", 0, 1), ("b", 1, 2)], "site string, src long, dst long")
