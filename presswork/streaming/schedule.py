@@ -54,7 +54,7 @@ class Ticks(StatefulProcessor):
     State: the next tick, when the last run began, and what is known of runs that have ended. How long a run took is told by a
     report with the run's number. While the run in flight has no report yet, ticks wait for it: by then it is known which
     of them fell into the run. Only reports that come before their run's turn are kept. Timers go by the clock; ticks that are
-    due when rows come are done at once.
+    due when rows come are done at once. Each question to the store costs a message, so it isn't asked what a new site can't have.
     """
 
     def __init__(self, spread: int):
@@ -68,6 +68,7 @@ class Ticks(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         site, now = key[0], timerValues.getCurrentProcessingTimeInMs()
         state = self.state.get() if self.state.exists() else None
+        new, self.kept = state is None, state is not None
         for row in rows:
             if state is None:
                 schedule = row.schedule if row.schedule and dates.is_cron(row.schedule) else DEFAULT_SCHEDULE
@@ -78,16 +79,20 @@ class Ticks(StatefulProcessor):
             if row.no == state[3]:
                 state = yield from self._go_on(site, state, now, max(0, row.seconds or 0))
             else:
-                self.reports.updateValue((row.no,), (max(0, row.seconds or 0),))
-        self._keep(state, now)
+                self._keep_report(row.no, max(0, row.seconds or 0))
+        self._keep(state, now, new)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentProcessingTimeInMs()
+        now, self.kept = timerValues.getCurrentProcessingTimeInMs(), True
         state = yield from self._go_on(key[0], self.state.get(), now)
         self._keep(state, now)
 
+    def _keep_report(self, run: int, seconds: int) -> None:
+        self.kept = True
+        self.reports.updateValue((run,), (seconds,))
+
     def _report(self, run: int) -> int | None:
-        if not self.reports.exists() or not self.reports.containsKey((run,)):
+        if not self.kept or not self.reports.exists() or not self.reports.containsKey((run,)):
             return None
         seconds = self.reports.getValue((run,))[0]
         self.reports.removeKey((run,))
@@ -111,12 +116,12 @@ class Ticks(StatefulProcessor):
             tick = _ms(next_tick(site, schedule, _moment(tick), self.spread))
         else:
             if seconds is not None:
-                self.reports.updateValue((runs,), (seconds,))
+                self._keep_report(runs, seconds)
         return schedule, tick, began, runs, dropped
 
-    def _keep(self, state: tuple, now: int) -> None:
+    def _keep(self, state: tuple, now: int, new: bool = False) -> None:
         self.state.update(state)
-        for timer in list(self.handle.listTimers()):
+        for timer in () if new else list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if state[1] > now:
             self.handle.registerTimer(state[1])

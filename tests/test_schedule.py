@@ -4,6 +4,7 @@ import os
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from presswork.functions import dates
@@ -78,6 +79,49 @@ def test_run_starts_of_a_stream(spark, tmp_path):
     assert streamed(spark, tmp_path, rows, SCHEMA, lambda df: schedule.run_starts(df, 300), 3) == want
 
 
+class Asked:
+    """A state store that counts its messages."""
+
+    def __init__(self):
+        self.n = 0
+
+    def __getattr__(self, name):
+        def ask(*_):
+            self.n += 1
+            return False if name in ("exists", "containsKey") else []
+
+        return (lambda *_: self) if name in ("getValueState", "getMapState") else ask
+
+    def getCurrentProcessingTimeInMs(self):
+        return schedule._ms(SINCE + timedelta(days=30))
+
+
+def test_messages_of_a_new_site():
+    """Reports in order ask the store nothing, however many they are."""
+    rows = [Row(schedule="*/30 * * * *", since=SINCE, no=n + 1, seconds=2000) for n in range(200)]
+    for some in (rows[:1], rows):
+        ticks, store = schedule.Ticks(600), Asked()
+        ticks.init(store)
+        out = list(ticks.handleInputRows(("a",), iter(some), store))
+        assert [r.at for r in out] == [w[2] for w in plain_starts("a", "*/30 * * * *", [2000] * len(some), 600)] and store.n == 2
+
+
+def test_next_run_against_every_minute():
+    rng = random.Random(2)
+    for expression in ["*/30 * * * *", "7,50 3-9/2 * * *", "0 0 29 2 *", "15 23 1 * 1", "* * * * *", "59 23 31 12 *", "5 4 * * 7"]:
+        ok = [dates.cron_field(f, *r) for f, r in zip(expression.split(), [(0, 59), (0, 23), (1, 31), (1, 12), (0, 7)], strict=True)]
+        for _ in range(3):
+            at = after = datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(59 * 86400))
+            at = at.replace(second=0) + timedelta(minutes=1)
+            while True:
+                day, week = ok[2](at.day), ok[4](at.isoweekday() % 7) or (at.isoweekday() == 7 and ok[4](7))
+                both = (day or week) if expression.split()[2] != "*" and expression.split()[4] != "*" else (day and week)
+                if ok[0](at.minute) and ok[1](at.hour) and ok[3](at.month) and both:
+                    break
+                at += timedelta(minutes=1)
+            assert dates.next_run(expression, after) == at
+
+
 def test_jitter_is_spread():
     moments = [schedule.jitter(s, SINCE, 600) for s in range(2000)]
     assert min(moments) < 10 and max(moments) > 590 and abs(sum(moments) / 2000 - 300) < 20
