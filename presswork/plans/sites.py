@@ -46,8 +46,8 @@ c AS (SELECT site, p, coalesce(gain, 0) AS gain, coalesce(sum(gain) OVER (PARTIT
 SELECT site, CAST(p AS BIGINT) AS place, CAST(gain AS BIGINT) AS gain FROM c WHERE had < 100 AND p < 40""")
 def crawl_listings(spark, sf_dir):
     """The listings of every supplier, ten lines each and linked both ways, up to a hundred parts or forty listings."""
-    # Lines of one order and number are dealt by their parts: which of them a listing has doesn't hang on where rows come from.
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    # Lines of one order and number go by their place in the files, as it is however often they are read.
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "_metadata.file_path", "_metadata.row_index")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("site"), F.col("l_partkey").alias("candidate"), (F.row_number().over(order) - 1).alias("n"))
     found = lines.select("site", F.floor(F.col("n") / 10).alias("url"), (F.col("n") % 10).alias("ord"), "candidate")
     own = found.select("site", "url").distinct()
